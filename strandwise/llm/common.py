@@ -6,9 +6,15 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import strandwise.llm
+
+# Functions go to the executors whole, so that these need not have this package.
+cloudpickle.register_pickle_by_value(strandwise.llm)
+
 #: Rows of one Arrow batch; with whole texts in them this bounds a Python worker's memory.
 ARROW_ROWS = 1024
 

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from strandwise.llm.common import table
 
 
+def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwise.llm.mixing import poisson_mix
 
@@ -19,7 +25,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_poisson_mixing, op8_exact_dedup)}
+def op7_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op10_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.language import language
+
+    return language(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.byte_bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ftrl_toxicity, op5_byte_bpe, op6_poisson_mixing, op7_simhash_gray_index, op8_exact_dedup, op10_naive_bayes_language)}
 
 ORACLE_SQL = {
     "op6_poisson_mixing": r"""
