@@ -43,6 +43,12 @@ def op3_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwise.llm.secrets import find_secrets
 
@@ -55,7 +61,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ftrl_toxicity, op3_canonical_digest, op5_byte_bpe, op6_poisson_mixing, op7_simhash_gray_index, op8_exact_dedup, op9_trigram_secrets, op10_naive_bayes_language)}
+QUERIES = {f.__name__: f for f in (op2_ftrl_toxicity, op3_canonical_digest, op4_pitman_yor_scores, op5_byte_bpe, op6_poisson_mixing, op7_simhash_gray_index, op8_exact_dedup, op9_trigram_secrets, op10_naive_bayes_language)}
 
 ORACLE_SQL = {
     "op6_poisson_mixing": r"""
