@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from strandwise.llm.common import table
 
 
+def op1_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwise.llm.toxicity import toxicity
 
@@ -61,7 +67,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ftrl_toxicity, op3_canonical_digest, op4_pitman_yor_scores, op5_byte_bpe, op6_poisson_mixing, op7_simhash_gray_index, op8_exact_dedup, op9_trigram_secrets, op10_naive_bayes_language)}
+QUERIES = {f.__name__: f for f in (op1_co_training_quality, op2_ftrl_toxicity, op3_canonical_digest, op4_pitman_yor_scores, op5_byte_bpe, op6_poisson_mixing, op7_simhash_gray_index, op8_exact_dedup, op9_trigram_secrets, op10_naive_bayes_language)}
 
 ORACLE_SQL = {
     "op6_poisson_mixing": r"""

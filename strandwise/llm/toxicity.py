@@ -58,11 +58,11 @@ def feature_sets(texts: list[bytes], bits: int = BITS) -> list[np.ndarray]:
     return [np.unique(np.concatenate([none, *(p[cut[k] : cut[k + 1]] for p, cut in parts)])) for k in range(len(texts))]
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, seed: int = 5, l1: float | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Places with a weight, their weights, and the intercept."""
     size = (1 << bits) + 1  # the last is the intercept
     z, n = np.zeros(size), np.zeros(size)
-    strength = max(1.0, L1 * min(1.0, len(rows) / MAX_LABELLED) ** 0.5)
+    strength = max(1.0, L1 * min(1.0, len(rows) / MAX_LABELLED) ** 0.5) if l1 is None else l1
 
     def weight(i: np.ndarray) -> np.ndarray:
         zi = z[i]
@@ -81,7 +81,7 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOC
             n[i] += g * g
     every = weight(np.arange(size))
     used = np.flatnonzero(every[:-1])
-    return used.astype(np.int32), every[used].astype(np.float32), float(every[-1]) + SHIFT
+    return used.astype(np.int32), every[used].astype(np.float32), float(every[-1]) + (SHIFT if l1 is None else 0.0)
 
 
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
