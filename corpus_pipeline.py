@@ -1,25 +1,47 @@
-"""From raw documents to an encoded training mix: toxicity filter, exact and near de-duplication, mixing, encoding."""
+"""From raw documents to an encoded training mix: toxicity filter, exact and near de-duplication, mixing, encoding.
+
+Each stage works on all rows that the one before kept, and writes no state of its own but intermediate tables in the
+shared folder. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandwise.llm.byte_bpe import encode
 from strandwise.llm.common import materialise, table
 from strandwise.llm.exact_dedup import drop_duplicates
 from strandwise.llm.mixing import poisson_mix
+from strandwise.llm.simhash import drop_near_duplicates
+from strandwise.llm.toxicity import drop_toxic
+
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labelled ones, finds toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return drop_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return drop_near_duplicates(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate says, in random order."""
     return poisson_mix(docs).select(*docs.columns)
 
 
-STAGES = [("exact", exact), ("mixing", mixing)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes, a row for each document of the mix."""
+    return encode(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
 
 #: The first stage is a trained classifier, which SQL doesn't express.
 ORACLE_SQL = None
