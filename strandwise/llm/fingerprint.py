@@ -63,7 +63,7 @@ def repeated(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> set[str]
                 p = _place(d)
                 bits = maps.get(p // 32768 + 1)  # buckets count from 1, places within from 0
                 if bits and bits[p % 32768 // 8] >> p % 8 & 1:
-                    out.append((d, form))
+                    out.append((d, pa.compress(form, codec="zstd", asbytes=True)))  # lossless: equal only for equal bytes
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["digest", "form"])
 
     # Copies merge before they are sent, so a bucket of many is a row from each task.
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> Data
     near_edited, near_next.
 
     The edited text is the text with its last third replaced by the beginning of the next document's, by descending
-    doc_id; null ids are the last, rows that repeat an id go by their text, and after the last row comes the first. A
+    doc_id; null ids are the last, rows that repeat an id go by their text's hash, and after the last row comes the first. A
     single row is its own next. An exact fingerprint is like another (1.0) or not (0.0). Null text counts as empty.
     """
     spark = docs.sparkSession
@@ -117,7 +117,8 @@ def fingerprints(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> Data
         before = None
         for b in frames:
             rows, extra = [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, packed, size in zip(*(b.column(c).to_pylist() for c in ("doc_id", "packed", "size"))):
+                text = pa.decompress(packed, size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
                 own = print_of(text)
                 if before is None:
                     rows.append((doc_id, len(text), None, own, None, None, None))
@@ -130,8 +131,15 @@ def fingerprints(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> Data
         if before:
             yield record([(before[0], len(before[1]), None, before[2], None, None, None)], [("last", part, before[1])])
 
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            packed = [pa.compress(t, codec="zstd", asbytes=True) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array([len(t) for t in texts], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "tie", "size", "packed"])
+
     parts = max(8, 2 * docs.rdd.getNumPartitions())
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = texts.mapInArrow(pack, "doc_id bigint, tie bigint, size bigint, packed binary").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie")
     done = materialise(dealt.mapInArrow(ranges, f"{schema}, kind string, part int, text string"), "fingerprints")
     filled = sorted(r["part"] for r in done.filter("kind = 'last'").select("part").collect())  # as many as partitions
     if not filled:
