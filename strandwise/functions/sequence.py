@@ -47,9 +47,14 @@ def gc_count(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """Array of all k-mers in order; empty if the sequence is shorter."""
-    n = F.length(seq) - k
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(seq, i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Array of all k-mers in order; empty if the sequence is shorter. A look-ahead finds them in one pass; cutting them
+    out by their places would scan the sequence from its beginning for each."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
+
+
+def letters(seq: Column) -> Column:
+    """Array of the letters."""
+    return F.regexp_extract_all(seq, F.lit("(.)"), F.lit(1))
 
 
 def kmer_code(kmer: Column) -> Column:

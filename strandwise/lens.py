@@ -16,11 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a small table is one file, and what follows multiplies
+    its rows. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tid, contig, seq (soft-masked: the case of the text is kept), len."""
     letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
     mapped = F.translate(F.translate(letters, OTHER_LETTERS, THEIR_BASES), OTHER_LETTERS.lower(), THEIR_BASES.lower())
-    docs = table(spark, sf_dir, "documents").select("doc_id", mapped.alias("seq"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", mapped.alias("seq"))
     return docs.select(F.col("doc_id").alias("tid"), F.concat(F.lit("ctg"), "doc_id").alias("contig"), "seq", F.length("seq").cast("long").alias("len"))
 
 
@@ -52,7 +59,8 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip, ins, dele, rlen = (line - 1) * 3, supp % 3, part % 4, F.col("l_quantity").cast("long") + 50
     op = lambda kind, n: F.struct(F.lit(kind).alias("op"), n.cast("int").alias("len"))
     cigar = F.filter(F.array(op("S", clip), op("M", F.lit(20)), op("I", ins), op("M", F.lit(15)), op("D", dele), op("M", rlen - 35)), lambda x: x["len"] > 0)
-    out = table(spark, sf_dir, "lineitem").select(
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]
+    out = spread(table(spark, sf_dir, "lineitem").select(*columns)).select(
         (((key * 8 + line) * 100000 + part) * 1000 + supp % 1000).alias("_rid"),
         F.concat(F.lit("q"), key).alias("qname"),
         line.alias("line"),

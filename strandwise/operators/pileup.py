@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import cigar as cg
+from strandwise.functions.sequence import letters
 
 GAP = "-"
 
@@ -21,16 +22,17 @@ def walk(aln: DataFrame, keep: tuple[str, ...] = ("rid", "tid")) -> DataFrame:
     Matches give (pos, 0, base); deletions (pos, 0, '-'); the j-th inserted base after pos (pos, j, base). Skipped
     stretches (N) give nothing. qidx is the query offset (of a deletion: of the next base).
     """
-    has_qual = "qual" in aln.columns
     ops = F.explode(F.filter(cg.with_offsets(F.col("cigar")), lambda x: x["op"].isin("M", "=", "X", "D", "I") & (x["len"] > 0))).alias("o")
-    rows = aln.select(*keep, F.col("pos").alias("_pos"), "seq", *(["qual"] if has_qual else []), ops)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("o.len") - 1)).alias("_i"))
+    qual = F.col("qual") if "qual" in aln.columns else F.lit(None).cast("array<int>")
+    rows = aln.select(*keep, F.col("pos").alias("_pos"), "seq", qual.alias("_qual"), ops)
+    # Each operation's stretch is cut out once, then taken apart letter by letter.
     is_ins, is_del = F.col("o.op") == "I", F.col("o.op") == "D"
-    qidx = F.when(is_del, F.col("o.q")).otherwise(F.col("o.q") + F.col("_i"))
+    bases = F.when(is_del, F.array_repeat(F.lit(GAP), F.col("o.len"))).otherwise(letters(F.upper(F.substring(F.col("seq"), F.col("o.q") + 1, F.col("o.len")))))
+    quals = F.when(~is_del, F.slice("_qual", F.col("o.q") + 1, F.col("o.len")))
+    rows = rows.select(*keep, "_pos", "o", quals.alias("_quals"), F.posexplode(bases).alias("_i", "base"))
     pos = F.col("_pos") + F.col("o.r") + F.when(is_ins, F.lit(-1)).otherwise(F.col("_i"))
-    base = F.when(is_del, F.lit(GAP)).otherwise(F.upper(F.substring(F.col("seq"), qidx + 1, F.lit(1))))
-    qual = F.when(~is_del, F.get(F.col("qual"), qidx)) if has_qual else F.lit(None).cast("int")
-    return rows.select(*keep, pos.cast("long").alias("pos"), F.when(is_ins, F.col("_i") + 1).otherwise(0).cast("int").alias("ins"), qidx.cast("int").alias("qidx"), base.alias("base"), qual.alias("qual"))
+    qidx = F.when(is_del, F.col("o.q")).otherwise(F.col("o.q") + F.col("_i"))
+    return rows.select(*keep, pos.cast("long").alias("pos"), F.when(is_ins, F.col("_i") + 1).otherwise(0).cast("int").alias("ins"), qidx.cast("int").alias("qidx"), "base", F.get("_quals", F.col("_i")).alias("qual"))
 
 
 def depth(aln: DataFrame, skip_deletions: bool = True) -> DataFrame:

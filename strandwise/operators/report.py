@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.flags import has, none_of
+from strandwise.functions.sequence import letters
 
 
 def flagstat(aln: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def cycle_qualities(aln: DataFrame) -> DataFrame:
 
 def cycle_bases(aln: DataFrame) -> DataFrame:
     """aln(flag, seq) -> cycle, a, c, g, t, n."""
-    each = aln.filter(none_of(F.col("flag"), 0x900)).select(F.posexplode(F.split(F.upper("seq"), "")).alias("cycle", "b")).filter("b <> ''")
+    each = aln.filter(none_of(F.col("flag"), 0x900)).select(F.posexplode(letters(F.upper("seq"))).alias("cycle", "b"))
     return each.groupBy("cycle").agg(*[F.count_if(F.col("b") == x).alias(x.lower()) for x in "ACGTN"])
 
 
