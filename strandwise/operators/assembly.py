@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,8 +86,6 @@ def block_plan(contigs: DataFrame, blocks: int) -> DataFrame:
 def greedy_blocks(contigs: DataFrame, blocks: int) -> DataFrame:
     """The greedy plan: a block is closed once its own lengths reach total / blocks + 1. The list of contigs is scanned
     in order in one task; it has (tid, len) alone."""
-    import pandas as pd
-
     total = contigs.agg(F.coalesce(F.sum("len"), F.lit(0))).collect()[0][0]
     limit = total // blocks + 1
 

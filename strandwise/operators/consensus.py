@@ -150,7 +150,7 @@ def snp_links(walked: DataFrame, snps: DataFrame) -> DataFrame:
     rows = rows.withColumn("allele", F.when(F.col("base") == F.col("first"), 0).when(F.col("base") == F.col("second"), 1)).filter("allele is not null")
     order = Window.partitionBy("rid", "tid").orderBy("pos")
     linked = rows.withColumn("prev_pos", F.lag("pos").over(order)).withColumn("prev_allele", F.lag("allele").over(order)).filter("prev_pos is not null")
-    return linked.groupBy("tid", "pos", "prev_pos", "prev_allele", "allele").agg(F.count(F.lit(1)).alias("num"), F.sum("mapq").cast("long").alias("mapq_sum"), F.sum("qual").cast("long").alias("qual_sum"))
+    return linked.groupBy("tid", "pos", "prev_pos", "prev_allele", "allele").agg(F.count(F.lit(1)).alias("num"), F.sum("mapq").cast("long").alias("mapq_sum"), F.coalesce(F.sum("qual"), F.lit(0)).cast("long").alias("qual_sum"))
 
 
 def link_score(num: int, mapq_sum: int, qual_sum: int, total: int, ploidy: int = 2) -> float:
@@ -397,10 +397,10 @@ def update_sites(sites: DataFrame, new: DataFrame, flag: Column | None = None) -
 def anchors(sites: DataFrame) -> DataFrame:
     """sites(tid, pos, snp) -> tid, pos, left, right of the SNPs: the nearest sites that aren't any. Blocks of a contig
     are looked at with the last and first plain site of their neighbours."""
-    w = Window.partitionBy("tid").orderBy("pos")
+    w, back = Window.partitionBy("tid").orderBy("pos"), Window.partitionBy("tid").orderBy(F.desc("pos"))  # both run forward
     plain = F.when(~F.col("snp"), F.col("pos"))
     left = F.last(plain, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(plain, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    right = F.last(plain, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     return sites.withColumn("left", left).withColumn("right", right).filter("snp").select("tid", "pos", "left", "right")
 
 

@@ -127,7 +127,7 @@ _LINKS = """al AS (SELECT w.rid, w.tid, w.pos, w.mapq, CASE WHEN w.base = 4 THEN
     lk AS (SELECT tid, pos, mapq, qual, a, lag(pos) OVER o AS prev_pos, lag(a) OVER o AS prev_a FROM al WINDOW o AS (PARTITION BY rid, tid ORDER BY pos))"""
 
 
-@query(f"WITH {ALN}, {READS}, {WALK}, {_SNPS}, {_LINKS} SELECT tid, pos, prev_pos, prev_a::INTEGER AS prev_allele, a::INTEGER AS allele, count(*) AS num, sum(mapq)::BIGINT AS mapq_sum, sum(qual)::BIGINT AS qual_sum FROM lk WHERE prev_pos IS NOT NULL GROUP BY ALL")
+@query(f"WITH {ALN}, {READS}, {WALK}, {_SNPS}, {_LINKS} SELECT tid, pos, prev_pos, prev_a::INTEGER AS prev_allele, a::INTEGER AS allele, count(*) AS num, sum(mapq)::BIGINT AS mapq_sum, coalesce(sum(qual), 0)::BIGINT AS qual_sum FROM lk WHERE prev_pos IS NOT NULL GROUP BY ALL")
 def snp_links(spark, d):
     walked = _walked(spark, d)
     return consensus.snp_links(walked, _snps(walked).filter("call = 1"))
