@@ -74,7 +74,10 @@ def fisher(n11: int, n12: int, n21: int, n22: int) -> tuple[float, float, float]
 
 
 def _each(f):
-    return F.pandas_udf(lambda *c: pd.Series([f(*x) if not any(pd.isna(v) for v in x) else None for x in zip(*c)], dtype="float64"), "double", F.PandasUDFType.SCALAR)
+    def batch(*columns: pd.Series) -> pd.Series:
+        return pd.Series([f(*x) if not any(pd.isna(v) for v in x) else None for x in zip(*columns)], dtype="float64")
+
+    return F.pandas_udf(batch, "double")
 
 
 def lgamma(x):
