@@ -47,3 +47,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(column: str, parts: int):
     """The remainder that assigns a row to a fold: crc32 of the id as text."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
+def boxed(df: DataFrame, *others, without: tuple[str, ...] = ()) -> DataFrame:
+    """df's columns as one column, row, so that no name of theirs meets ours, and other columns beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("row"), *others)

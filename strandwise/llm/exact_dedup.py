@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import materialise
+from strandwise.llm.common import boxed, materialise
 
 #: A digest is hot when it holds at least this share of the rows, and HOT_ROWS rows.
 HOT_SHARE, HOT_ROWS = 1 / 2048, 1000
@@ -82,8 +82,7 @@ def exact_dedup(docs: DataFrame, digest=sha256, hot_share: float = HOT_SHARE, ho
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with the same columns. Of rows that repeat an id and a text, one stays."""
-    columns = docs.columns
     key = lambda digest: F.concat_ws(":", F.col("doc_id").cast("string"), digest)
-    keep = exact_dedup(docs).filter("kept").select(key(F.col("text_sha256")).alias("_key"))
-    keyed = docs.withColumn("_key", key(sha256(fold_spaces(F.col("text")))))
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)
+    keep = exact_dedup(docs).filter("kept").select(key(F.col("text_sha256")).alias("key"))
+    keyed = boxed(docs, key(sha256(fold_spaces(F.col("text")))).alias("key"))
+    return keyed.join(keep, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -49,7 +49,7 @@ def repeated(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> set[str]
 
     counts = docs.select("text").mapInArrow(digests, "digest string").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
     place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % BITMAP
-    often = counts.filter("n > 1").select(place.alias("p"))
+    often = counts.filter("n > 1").select((place + 1).alias("p"))  # bitmaps count from 1
     bits = often.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     maps = {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}  # BITMAP / 8 bytes at most
     if not maps:

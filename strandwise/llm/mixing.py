@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandwise.llm.common import boxed
+
 #: A source's target weight is its share of all characters to this power; 1 keeps the shares, 0 makes sources equal.
 TEMPERATURE = 0.5
 #: Characters of the mix for each character of the input.
@@ -55,15 +57,13 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     Rows come dealt by shuffle_key and sorted by it within each partition. Rows that repeat an id are drawn alike.
     Rates above 600 are refused, as the distribution then underflows. An empty table gives an empty result.
     """
-    columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rate = rates(docs, weights, temperature, epochs)
     rate = rate.withColumn("rate", F.when(F.col("rate") > 600, F.raise_error(F.lit("a source's repetition rate exceeds 600")).cast("double")).otherwise(F.col("rate")))
-    rate = rate.select(F.col("source").alias("_s"), _cdf(F.col("rate")).alias("_cdf"))
+    rate = rate.select("source", _cdf(F.col("rate")).alias("cdf"))
     if rate.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         rate = F.broadcast(rate)
-    u = uniform(F.lit(seed), F.col("doc_id"))
-    drawn = docs.join(rate, F.coalesce("source", F.lit("")) == F.col("_s"), "inner").withColumn("_u", u)
-    n = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    copies = drawn.withColumn("_n", n).filter("_n > 0").select(*columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit("mix"), F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy")).cast("binary")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    rows = boxed(docs, F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("id"), uniform(F.lit(seed), F.col("doc_id")).alias("u"), without=("copy", "shuffle_key"))
+    n = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    copies = rows.join(rate, "source").withColumn("n", n).filter("n > 0").select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit("mix"), F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy")).cast("binary"))
+    return copies.select("row.*", "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

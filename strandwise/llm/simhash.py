@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import materialise, small_batches
+from strandwise.llm.common import boxed, materialise, small_batches
 from strandwise.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
@@ -232,8 +232,7 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Of each component the document with the smallest id stays, one row of it; the same columns."""
-    columns = docs.columns
     stay = simhash_components(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = stay.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
+    keyed = boxed(docs, key)
+    return keyed.join(stay.select(key).distinct(), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

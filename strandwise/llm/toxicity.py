@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strandwise.llm.common import fold, small_batches
+from strandwise.llm.common import boxed, fold, small_batches
 from strandwise.llm.words import batches, hashed, mix
 
 BITS = 20
@@ -161,8 +161,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of docs that score below the threshold, with the same columns; learns from all labels."""
-    columns = docs.columns
     model = train(labelled_sample(docs, labels, max_labelled), max_labelled)
-    renamed = docs.withColumnRenamed("score", "_score") if "score" in columns else docs
-    kept = score(renamed, model).filter(F.col("score") < threshold).drop("score")
-    return (kept.withColumnRenamed("_score", "score") if "score" in columns else kept).select(*columns)
+    return score(boxed(docs, "text"), model).filter(F.col("score") < threshold).select("row.*")
