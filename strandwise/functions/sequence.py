@@ -64,11 +64,13 @@ def kmer_code(kmer: Column) -> Column:
 
 
 def invertible_hash(key: Column, bits: int) -> Column:
-    """A one-to-one mixing of numbers below 2^bits (up to 62): xor-shifts and multiplications by odd numbers."""
+    """A one-to-one mixing of numbers below 2^bits (up to 54): xor-shifts and multiplications by odd numbers, which are
+    short enough for no product to pass 62 bits."""
     mask = (1 << bits) - 1
     half = (bits + 1) // 2
     x = key
     for odd in (0x2545F491, 0x9E3779B1):
+        odd = odd & ((1 << (62 - bits)) - 1) | 1
         x = x.bitwiseXOR(F.shiftrightunsigned(x, half))
         x = (x * F.lit(odd)).bitwiseAND(F.lit(mask))
     return x.bitwiseXOR(F.shiftrightunsigned(x, half))

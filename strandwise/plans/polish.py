@@ -12,16 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import cigar as cg
-from strandwise.functions.sequence import letters
+from strandwise.functions.sequence import letters, reverse_complement
 from strandwise.operators import consensus, pileup, regions, seeds
 from strandwise.plans.settings import Settings
 
 
-def aligned(reads: DataFrame, contigs: DataFrame, preset: str) -> DataFrame:
+def aligned(reads: DataFrame, contigs: DataFrame, preset: str, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """Alignments of the reads that map: rid, tid, pos, cigar, seq (of the strand and span that aligns), mapq, beg, end."""
-    found = seeds.map_reads(reads, contigs, preset)
-    from strandwise.functions.sequence import reverse_complement
-
+    found = seeds.map_reads(reads, contigs, preset, keep=keep)
     turned = reads.select(F.col("tid").alias("qid"), F.upper("seq").alias("_s"))
     rows = found.join(turned, "qid").withColumn("_s", F.when(F.col("reverse"), reverse_complement(F.col("_s"))).otherwise(F.col("_s")))
     seq = F.substring(F.col("_s"), F.col("qbeg").cast("int") + 1, (F.col("qend") - F.col("qbeg")).cast("int"))
@@ -92,18 +90,19 @@ TASKS: dict[int, Task] = {1: score_chain, 2: haplotypes, 3: snp_phase, 4: haplot
 
 
 def run(contigs: DataFrame, s: Settings, short: DataFrame | None = None, long: DataFrame | None = None, materialise: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """Contigs after all tasks. What a task gives is written by materialise (by default to a reliable checkpoint, in the
-    folder spark.checkpoint.dir names) before the next maps reads to it."""
+    """Contigs after all tasks. Alignments, which a task looks at more than once, and what it gives to the next are
+    written by materialise: by default to a reliable checkpoint, in the folder that spark.checkpoint.dir names."""
+    keep = materialise or _checkpoint
     for k, task in enumerate(s.tasks(short is not None, long is not None)):
         reads, preset = (long, f"map-{'pb' if s.read_type == 'clr' else s.read_type}") if task in (5, 6) else (short, "sr")
-        polished = TASKS[task](contigs, aligned(reads, contigs, preset), s)
+        aln = keep(aligned(reads, contigs, preset, keep), f"alignments-{k}")
+        polished = keep(TASKS[task](contigs, aln, s), f"polished-{k}")
         lost = contigs.join(polished.select("tid"), "tid", "left_anti").select("tid", "seq")
-        contigs = polished.unionByName(lost)
-        contigs = materialise(contigs, f"task-{k}") if materialise else _checkpoint(contigs)
+        contigs = keep(polished.unionByName(lost), f"contigs-{k}")
     return contigs.withColumn("seq", F.upper("seq")) if s.uppercase else contigs
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def _checkpoint(df: DataFrame, _: str) -> DataFrame:
     import tempfile
 
     context = df.sparkSession.sparkContext
