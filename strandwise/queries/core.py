@@ -167,10 +167,10 @@ def read_filter_first(spark, d):
 _LEVEL = "CASE WHEN flag & 3076 = 0 AND ((flag & 1 > 0 AND abs(isize) > 0 AND abs(isize) < 600) OR clip / qlen < 0.15) THEN CASE WHEN mapq >= 6 AND clip / qlen < 0.20 THEN 2 ELSE 1 END ELSE 0 END"
 
 
-@query(f"WITH {ALN} SELECT {_LEVEL} AS level, count(*) AS n, sum(rid)::BIGINT AS rids FROM aln GROUP BY 1")
+@query(f"WITH {ALN} SELECT {_LEVEL} AS level, count(*) AS n, sum(rid % 1000003)::BIGINT AS rids FROM aln GROUP BY 1")
 def read_filter_levels(spark, d):
     level = fl.short_level(F.col("flag"), F.col("mapq"), F.col("cigar"), F.col("qlen"), F.col("isize"), 600, 6)
-    return _aln(spark, d).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("rid").cast("long").alias("rids"))
+    return _aln(spark, d).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rid") % 1000003).cast("long").alias("rids"))
 
 
 @query(f"""WITH {ALN} SELECT count(*) FILTER (flag & 3332 = 0 AND clip / qlen <= 0.4) AS phasing, count(*) FILTER (flag & 3332 = 0 AND (qlen - clip) / qlen > 0.9 AND qlen - clip >= 80) AS consensus FROM aln""")
