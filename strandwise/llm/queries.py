@@ -85,3 +85,28 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256 FROM n""",
 }
+
+
+def _secrets_sql() -> str:
+    """op9 in SQL: every rule over every text, without an index."""
+    from strandwise.llm.secrets import RULES
+
+    either = lambda words: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words)
+    quote = lambda x: x.replace("'", "''")
+    columns, names = [], []
+    for k, r in enumerate(RULES):
+        pattern = r.pattern
+        if pattern.startswith("(?i)"):  # the engine's own case folding reaches beyond ASCII
+            head, _, tail = pattern[4:].partition(")")
+            pattern = f"({either(head[1:].split('|'))}){tail}"
+        pattern = quote(pattern)
+        columns.append(f"regexp_extract_all(t, '{pattern}', 0) AS w{k}, regexp_extract_all(t, '{pattern}', {r.group}) AS g{k}, string_split_regex(t, '{pattern}') AS p{k}")
+        start = f"list_sum(list_transform(p{k}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w{k}[1:i-1], lambda x: length(x))), 0)"
+        names.append(f"list_transform(list_filter(range(1, len(w{k}) + 1), lambda i: length(g{k}[i]) >= {r.least}), lambda i: {{'s': ({start})::BIGINT, 'k': {k}, 'n': '{r.kind}', 'e': ({start})::BIGINT + length(w{k}[i])}}) AS s{k}")
+    told = lambda ks: "array_to_string(list_transform(list_sort(flatten([" + ", ".join(f"s{k}" for k in ks) + "])), lambda x: x.n || ':' || x.s || ':' || x.e), ',')"
+    base = [k for k, r in enumerate(RULES) if r.base]
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {', '.join(columns)} FROM d), s AS (SELECT doc_id, {', '.join(names)} FROM m)
+        SELECT doc_id, {', '.join(f"len(s{k}) AS n_{RULES[k].kind}" for k in base)}, sha256({told(base)}) AS base_sha256, {told(range(len(RULES)))} AS spans FROM s"""
+
+
+ORACLE_SQL["op9_trigram_secrets"] = _secrets_sql()
