@@ -60,3 +60,24 @@ def vcf_lines(variants: DataFrame) -> DataFrame:
     qual = F.when(F.col("qual") == F.floor("qual"), F.col("qual").cast("long").cast("string")).otherwise(F.col("qual").cast("string"))
     fields = [F.col("chrom"), F.col("pos").cast("string"), dot(F.col("id")), F.col("ref"), dot(F.array_join("alt", ",")), dot(qual), dot(F.array_join("filter", ";")), F.when(info == "", ".").otherwise(info), F.array_join("format", ":")]
     return variants.select(F.concat_ws("\t", *fields, F.transform("samples", lambda s: F.array_join(s, ":"))).alias("value"))
+
+
+def to_paf(aln: DataFrame, lengths: DataFrame) -> DataFrame:
+    """aln(qname, flag, rname, pos, mapq, cigar, tags), lengths(rname, tlen) -> PAF columns of the mapped records. Matches
+    are the M, = and X bases less the mismatches that the NM tag leaves after gaps; clips give the query's place."""
+    f, c = F.col("flag"), F.col("cigar")
+    rev, gaps, aligned = has(f, "REVERSE"), cg.total(c, ("I", "D")), cg.total(c, ("M", "=", "X"))
+    left, right, inner = cg.all_clips(c, False), cg.all_clips(c, True), cg.total(c, ("M", "=", "X", "I"))
+    beg = F.when(rev, right).otherwise(left).cast("long")
+    mismatches = F.greatest(F.coalesce(F.try_element_at("tags", F.lit("NM")).cast("long"), gaps) - gaps, F.lit(0))
+    rows = aln.filter(none_of(f, 4)).join(lengths, "rname")
+    return rows.select(
+        "qname", (left + right + inner).cast("long").alias("qlen"), beg.alias("qbeg"), (beg + inner).alias("qend"), F.when(rev, "-").otherwise("+").alias("strand"), F.col("rname").alias("tname"), "tlen",
+        F.col("pos").cast("long").alias("tbeg"), (F.col("pos") + cg.reference_span(c)).cast("long").alias("tend"), (aligned - mismatches).alias("matches"), (aligned + gaps).alias("columns"), "mapq",
+    )
+
+
+def paf_lines(df: DataFrame) -> DataFrame:
+    """The columns of PAF -> value: its lines."""
+    names = ("qname", "qlen", "qbeg", "qend", "strand", "tname", "tlen", "tbeg", "tend", "matches", "columns", "mapq")
+    return df.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in names]).alias("value"))

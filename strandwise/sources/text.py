@@ -140,6 +140,19 @@ def bed(spark: SparkSession, path: str | list[str]) -> DataFrame:
 PRESETS = {"gff": (1, 4, 5, False, "#"), "bed": (1, 2, 3, True, "#"), "sam": (3, 4, 0, False, "@"), "vcf": (1, 2, 0, False, "#"), "psltbl": (15, 17, 18, True, "#")}
 
 
+#: The first twelve columns of the pairwise mapping format, and their types.
+PAF = "qname string, qlen long, qbeg long, qend long, strand string, tname string, tlen long, tbeg long, tend long, matches long, columns long, mapq int"
+
+
+def paf(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The columns of PAF, and tags: a map of the others by their names."""
+    f = F.split(F.regexp_replace("value", "\r$", ""), "\t")
+    rows = spark.read.text(path).filter("value <> ''").select(f.alias("f"))
+    typed = [F.get("f", F.lit(i)).cast(c.split()[1]).alias(c.split()[0]) for i, c in enumerate(PAF.split(", "))]
+    tags = F.transform(F.slice("f", 13, F.greatest(F.size("f") - 12, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.regexp_replace(x, "^..:.:", "").alias("v")))
+    return rows.select(*typed, F.map_from_entries(tags).alias("tags"))
+
+
 def indexed_table(spark: SparkSession, path: str | list[str], preset: str, skip: int = 0) -> DataFrame:
     """name, beg, end (0-based, half-open), line of a tab-separated file by one of the presets."""
     name, beg, end, zero, comment = PRESETS[preset]
