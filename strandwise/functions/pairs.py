@@ -5,6 +5,8 @@ A pair is a struct (q, t): the query and the target with '-' where the other has
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,11 +18,16 @@ GAP, PAD = "-", "*"
 WORD = 31  # bases in one packed long
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is worked out once: a lambda's argument, unlike a column that is used twice."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def gapped(cigar: Column, seq: Column, target: Column) -> Column:
     """The pair; target begins at the alignment's position. Clips and skipped stretches (N) aren't shown."""
     ops = F.filter(cg.with_offsets(cigar), lambda x: x["op"].isin("M", "=", "X", "I", "D") & (x["len"] > 0))
-    row = lambda text, at, without: F.array_join(F.transform(ops, lambda x: F.when(x["op"] == without, F.repeat(F.lit(GAP), x["len"])).otherwise(F.substring(text, x[at] + 1, x["len"]))), "")
-    return F.struct(row(seq, "q", "D").alias("q"), row(target, "r", "I").alias("t"))
+    row = lambda ops, text, at, without: F.array_join(F.transform(ops, lambda x: F.when(x["op"] == without, F.repeat(F.lit(GAP), x["len"])).otherwise(F.substring(text, x[at] + 1, x["len"]))), "")
+    return bound(ops, lambda o: F.struct(row(o, seq, "q", "D").alias("q"), row(o, target, "r", "I").alias("t")))
 
 
 def columns(pair: Column) -> Column:
@@ -43,9 +50,9 @@ def md(pair: Column) -> Column:
     """The MD tag: lengths of equal runs, the target's base at a mismatch, ^ and the target's bases at a deletion."""
     shown = F.transform(columns(pair), lambda x: F.when(x["t"] == GAP, "").when(x["q"] == GAP, F.lower(x["t"])).when(x["q"] == x["t"], ".").otherwise(x["t"]))
     code, event = F.concat(F.array_join(shown, ""), F.lit("$")), r"(\.*)([A-Z]|[a-z]+|\$)"
-    runs, events = (F.regexp_extract_all(code, F.lit(event), F.lit(i)) for i in (1, 2))
+    each = lambda c, i: F.regexp_extract_all(c, F.lit(event), F.lit(i))
     name = lambda e: F.when(e == "$", "").when(e == F.lower(e), F.concat(F.lit("^"), F.upper(e))).otherwise(e)
-    return F.array_join(F.zip_with(runs, events, lambda r, e: F.concat(F.length(r).cast("string"), name(e))), "")
+    return bound(code, lambda c: F.array_join(F.zip_with(each(c, 1), each(c, 2), lambda r, e: F.concat(F.length(r).cast("string"), name(e))), ""))
 
 
 def cs(pair: Column) -> Column:
@@ -60,12 +67,15 @@ def cs(pair: Column) -> Column:
 def exact_ends(pair: Column, k: int = 8, least: int = 500) -> Column:
     """(q, t, skipped): the pair from its first to its last k equal columns in a row, and the target's bases before
     it; null if fewer than least columns remain."""
-    agree = F.array_join(F.transform(columns(pair), lambda x: F.when(x["q"] == x["t"], "=").otherwise("x")), "")
-    first = F.locate("=" * k, agree)
-    last = F.length(agree) - F.locate("=" * k, F.reverse(agree)) + 1
-    n = last - first + 1
-    skipped = F.length(F.replace(F.substring(pair["t"], F.lit(1), first - 1), F.lit(GAP), F.lit("")))
-    return F.when((first > 0) & (n >= least), F.struct(F.substring(pair["q"], first, n).alias("q"), F.substring(pair["t"], first, n).alias("t"), skipped.alias("skipped")))
+    agree = lambda p: F.array_join(F.transform(columns(p), lambda x: F.when(x["q"] == x["t"], "=").otherwise("x")), "")
+    ends = lambda a: F.struct(F.locate("=" * k, a).alias("first"), (F.length(a) - F.locate("=" * k, F.reverse(a)) + 1).alias("last"))
+
+    def cut(p: Column, e: Column) -> Column:
+        n = e["last"] - e["first"] + 1
+        skipped = F.length(F.replace(F.substring(p["t"], F.lit(1), e["first"] - 1), F.lit(GAP), F.lit("")))
+        return F.when((e["first"] > 0) & (n >= least), F.struct(F.substring(p["q"], e["first"], n).alias("q"), F.substring(p["t"], e["first"], n).alias("t"), skipped.alias("skipped")))
+
+    return bound(pair, lambda p: bound(bound(agree(p), ends), lambda e: cut(p, e)))
 
 
 def clip_to_window(pos: Column, cigar: Column, beg: Column, end: Column) -> Column:
@@ -80,8 +90,8 @@ def clip_to_window(pos: Column, cigar: Column, beg: Column, end: Column) -> Colu
         return F.struct(x["op"].alias("op"), n.cast("int").alias("len"), q.alias("q"), left.alias("r"))
 
     kept = F.filter(F.transform(cg.with_offsets(cigar), part), lambda x: x["len"] > 0)
-    first = F.try_element_at(kept, F.lit(1))
-    return F.struct((pos + first["r"]).alias("pos"), first["q"].alias("qbeg"), F.transform(kept, lambda x: F.struct(x["op"].alias("op"), x["len"].alias("len"))).alias("cigar"))
+    first = lambda k: F.get(k, F.lit(0))
+    return bound(kept, lambda k: F.struct((pos + first(k)["r"]).alias("pos"), first(k)["q"].alias("qbeg"), F.transform(k, lambda x: F.struct(x["op"].alias("op"), x["len"].alias("len"))).alias("cigar")))
 
 
 def run_lengths(ops: Column) -> Column:
@@ -141,9 +151,11 @@ def packed_substring(words: Column, length: Column, beg: Column, end: Column, re
 def merge_mates(first: Column, second: Column, least: int = 10, share: float = 0.9) -> Column:
     """One sequence of two mates that read into each other: the longest overlap of the first's end with the start of the
     second's reverse complement in which that share of bases agrees; null if there is none of at least least bases."""
-    other = reverse_complement(second)
-    most = F.least(F.length(first), F.length(other))
-    alike = lambda n: F.size(F.filter(F.zip_with(letters(F.right(first, n)), letters(F.left(other, n)), lambda a, b: a == b), lambda same: same))
-    fits = F.when(most >= least, F.filter(F.sequence(most, F.lit(least), F.lit(-1)), lambda n: alike(n) >= n * share))
-    n = F.try_element_at(fits, F.lit(1))
-    return F.when(n.isNotNull(), F.concat(first, F.substring(other, n + 1, F.length(other))))
+    alike = lambda n, other: F.size(F.filter(F.zip_with(letters(F.right(first, n)), letters(F.left(other, n)), lambda a, b: a == b), lambda same: same))
+
+    def merged(other: Column) -> Column:
+        most = F.least(F.length(first), F.length(other))
+        fits = F.when(most >= least, F.filter(F.sequence(most, F.lit(least), F.lit(-1)), lambda n: alike(n, other) >= n * share))
+        return bound(F.try_element_at(fits, F.lit(1)), lambda n: F.when(n.isNotNull(), F.concat(first, F.substring(other, n + 1, F.length(other)))))
+
+    return bound(reverse_complement(second), merged)

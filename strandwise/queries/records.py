@@ -68,7 +68,8 @@ def cs_strings(spark, d):
     f AS (SELECT *, instr(a, '========') AS beg, length(a) - instr(reverse(a), '========') + 1 AS fin FROM c)
     SELECT rid, substr(q, beg, fin - beg + 1) AS q, substr(t, beg, fin - beg + 1) AS t, length(replace(substr(t, 1, beg - 1), '-', '')) AS skipped FROM f WHERE beg > 0 AND fin - beg + 1 >= 60""")
 def exact_ends(spark, d):
-    return _pairs(spark, d).select("rid", pr.exact_ends(F.col("p"), 8, 60).alias("e")).filter("e is not null").select("rid", "e.q", "e.t", F.col("e.skipped").cast("long").alias("skipped"))
+    some = F.explode(F.filter(F.array(pr.exact_ends(F.col("p"), 8, 60)), lambda x: x.isNotNull()))
+    return _pairs(spark, d).select("rid", some.alias("e")).select("rid", "e.q", "e.t", F.col("e.skipped").cast("long").alias("skipped"))
 
 
 @query(f"""WITH {ALN}, {READS}, {WALK} SELECT w.rid, min(w.pos) AS pos, min(w.qidx) FILTER (ins > 0 OR base < 4) AS qbeg, count(*) FILTER (ins = 0 AND base < 4) AS m, count(*) FILTER (ins > 0) AS i, count(*) FILTER (base = 4) AS d
