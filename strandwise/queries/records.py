@@ -9,7 +9,7 @@ from strandwise.functions import flags as fl
 from strandwise.functions import pairs as pr
 from strandwise.functions.cigar import total
 from strandwise.lens import ALN, CONTIGS, WALK
-from strandwise.operators import splits, variants
+from strandwise.operators import masks, pileup, report, seeds, splits, variants
 from strandwise.queries.core import READS, _aln, _bed, _reads
 from strandwise.queries.more import _VAR, _variants
 
@@ -174,6 +174,35 @@ def clipped_depth_mean(spark, d):
     return splits.clipped_mean(_aln(spark, d).groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("depth")), start=3)
 
 
+# Masks, targets, mates
+
+
+@query()
+def dust_regions(spark, d):
+    return masks.dust_regions(lens.contigs(spark, d))
+
+
+@query()
+def unmasked_minimizers(spark, d):
+    c = lens.contigs(spark, d).withColumn("seq", F.upper("seq"))
+    return masks.drop_masked_seeds(seeds.minimizers(c, 15, 10).withColumnRenamed("i", "pos"), masks.dust_regions(c), 15)
+
+
+@query()
+def target_regions(spark, d):
+    reads = _reads(spark, d)
+    sites = pileup.majority(pileup.walk(reads)).filter("ins = 0").groupBy("tid", "pos").agg(F.max(F.col("base").isin(*"ACGT")).alias("called"))
+    return masks.target_regions(sites, reads.groupBy("tid").agg(F.max(F.col("pos") + F.col("ref_len")).alias("len")), cost=200)
+
+
+@query()
+def mate_pairs(spark, d):
+    a = _aln(spark, d).select("qname", "line", F.col("rid").alias("id"), "tid", F.col("pos").alias("beg"), (F.col("pos") + F.col("ref_len")).alias("end"), (F.col("flag").bitwiseAND(16) > 0).alias("reverse"), "score", "isize")
+    odd, even = (a.filter(F.col("line") % 2 == k).drop("line", "isize") for k in (1, 0))
+    rows = a.filter("isize > 0").select(F.when(F.col("reverse"), "FR").otherwise("FF").alias("orientation"), "isize")
+    return masks.mate_pairs(odd, even, report.insert_statistics(rows, 8.0))
+
+
 # Variant records
 
 
