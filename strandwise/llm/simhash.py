@@ -19,11 +19,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.llm.common import boxed, materialise, small_batches
 from strandwise.llm.components import components
+from strandwise.llm.exact_dedup import sha256
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 LEAF = 32
@@ -50,16 +51,24 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (the 64 bits as a signed long); other columns are dropped."""
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, fp (the 64 bits as a signed long), with digest also the text's; other columns are
+    dropped."""
     small_batches(docs.sparkSession)
 
     def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
             fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            more = [b.column("digest")] if digest else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), *more], names=["doc_id", "fp", "digest"][: 2 + digest])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id bigint, fp bigint")
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), "text", *([_digest().alias("digest")] if digest else [])]
+    return docs.select(*cols).mapInArrow(each, "doc_id bigint, fp bigint" + (", digest string" if digest else ""))
+
+
+def _digest() -> Column:
+    """Of the whole text; a null text is empty, as in its fingerprint."""
+    return sha256(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -215,15 +224,20 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, split: int = SPLIT)
     return dealt.mapInArrow(within, "a bigint, b bigint").distinct()
 
 
+def _linked(prints: DataFrame, least: Column, radius: int) -> DataFrame:
+    """prints(fp, ...) -> fp, least (that aggregate of the fingerprint's rows), component; a row for each fingerprint."""
+    distinct = materialise(prints.groupBy("fp").agg(least.alias("least")), "simhash-distinct")
+    found = components(links(distinct.select("fp"), distinct.count(), radius))
+    # Fingerprints without a link are their own component.
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
     that links reach). Null texts count as empty: fingerprint zero. Rows with a null id link like others, but name no
     component that has another id. An empty table gives an empty result; other columns are ignored."""
     prints = materialise(fingerprints(docs), "simhash-prints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(links(distinct.select("fp"), distinct.count(), radius))
-    # fp -> the component's smallest id; fingerprints without a link are their own component
-    least = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = _linked(prints, F.min("doc_id"), radius)
     best = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.select("fp", "component").join(best, "component").select("fp", "component_id")
     # Few fingerprints are far more frequent than the rest: the join's skewed partitions are split at run time.
@@ -231,8 +245,13 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of each component the document with the smallest id stays, one row of it; the same columns."""
-    stay = simhash_components(docs, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
-    keyed = boxed(docs, key)
-    return keyed.join(stay.select(key).distinct(), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    """Of each component of fingerprints one row stays: the smallest id's, null ids last, and of rows that repeat an id
+    the one whose text has the smallest digest; the same columns."""
+    prints = materialise(fingerprints(docs, digest=True), "simhash-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    best = _linked(prints, first, radius).groupBy("component").agg(F.min("least").alias("least"))
+    # A text has one fingerprint, so an id and a digest are in one component only. A null id leaves the digest alone.
+    key = lambda doc_id, digest: F.concat_ws(":", doc_id.cast("long").cast("string"), digest).alias("key")
+    keyed = boxed(docs, key(F.col("doc_id"), _digest()))
+    stay = best.select(key(F.col("least.doc_id"), F.col("least.digest")))
+    return keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

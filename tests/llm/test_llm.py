@@ -102,6 +102,19 @@ def test_simhash(spark, odd, empty):
     assert drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    from strandwise.llm.simhash import drop_near_duplicates, fingerprint
+
+    r = random.Random(3)
+    a, b, c, d, e = (" ".join(str(r.getrandbits(32)) for _ in range(400)) for _ in range(5))
+    near = a + " more"
+    assert 0 < (fingerprint(a) ^ fingerprint(near)).bit_count() <= 4
+    rows = [(1, a), (2, near), (2, b), (2, c), (None, d), (None, e), (None, e), (3, e), (None, a)]
+    want = Counter([(1, a), (2, b), (2, c), (None, d), (3, e)])
+    for parts in (1, 5):
+        assert Counter((x.doc_id, x.text) for x in drop_near_duplicates(docs(spark, rows).repartition(parts)).collect()) == want
+
+
 def test_simhash_index_finds_all_links():
     from strandwise.llm.simhash import blocks_for, gray_rank, masks, node_links
 
