@@ -2,7 +2,9 @@
 
 Each document is repeated k times, k drawn from a Poisson distribution whose mean is the repetition rate of its
 source. The draw inverts the distribution at a uniform number hashed from seed and id, so that it is the same in any
-run, on any partitioning. The copies are dealt to random partitions and put in random order there: a global shuffle.
+run, on any partitioning. Where the rate is over WHOLE, the probabilities would underflow: such a draw is the sum of
+independent draws, each of an equal part of the rate, at most PART, with a uniform number of its own. The copies are
+dealt to random partitions and put in random order there: a global shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ EPOCHS = 1.0
 SEED = 17
 #: The rates are broadcast up to so many sources (about 1 KB each); with more they are joined by a shuffle.
 MAX_BROADCAST = 20_000
+#: Rates up to WHOLE are drawn at once, as exp(-rate) is a plain double; higher ones in parts of at most PART.
+WHOLE, PART = 600.0, 500.0
+#: Copies that one array of numbers holds.
+BLOCK = 1 << 16
 
 
 def uniform(*parts: Column) -> Column:
@@ -55,15 +61,20 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     """The columns of docs(doc_id, text, source, ...), and copy (0, 1, ... of that document) and shuffle_key.
 
     Rows come dealt by shuffle_key and sorted by it within each partition. Rows that repeat an id are drawn alike.
-    Rates above 600 are refused, as the distribution then underflows. An empty table gives an empty result.
+    A rate may be any: the work for a document is in proportion to its copies. An empty table gives an empty result.
     """
     rate = rates(docs, weights, temperature, epochs)
-    rate = rate.withColumn("rate", F.when(F.col("rate") > 600, F.raise_error(F.lit("a source's repetition rate exceeds 600")).cast("double")).otherwise(F.col("rate")))
-    rate = rate.select("source", _cdf(F.col("rate")).alias("cdf"))
+    parts = F.when(F.col("rate") > WHOLE, F.ceil(F.col("rate") / PART)).otherwise(F.lit(1)).cast("int")
+    rate = rate.select("source", parts.alias("parts"), (F.col("rate") / parts).alias("rate")).select("source", "parts", _cdf(F.col("rate")).alias("cdf"))
     if rate.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         rate = F.broadcast(rate)
     rows = boxed(docs, F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("id"), uniform(F.lit(seed), F.col("doc_id")).alias("u"), without=("copy", "shuffle_key"))
-    n = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
-    copies = rows.join(rate, "source").withColumn("n", n).filter("n > 0").select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    draw = lambda u: F.size(F.filter("cdf", lambda c: c <= u))
+    more = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, k: n + draw(uniform(F.lit(seed), F.col("id"), k)))
+    n = F.when(F.col("parts") == 1, draw(F.col("u"))).otherwise(more)
+    drawn = rows.join(rate, "source").withColumn("n", n).filter("n > 0")
+    blocks = drawn.select("row", "id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))).alias("block"))
+    first = F.col("block") * BLOCK
+    copies = blocks.select("row", "id", F.explode(F.sequence(first, F.least(first + F.lit(BLOCK), F.col("n")) - 1)).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit("mix"), F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy")).cast("binary"))
     return copies.select("row.*", "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

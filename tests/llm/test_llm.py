@@ -80,6 +80,23 @@ def test_mixing(spark, odd, empty):
     assert "copy" in poisson_mix(odd).columns and poisson_mix(odd).count() >= 0
 
 
+def test_mixing_of_a_tiny_source_beside_a_huge_one(spark):
+    from strandwise.llm.mixing import poisson_mix, rates
+
+    huge = spark.range(4000).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.lit("en").alias("lang"), F.lit("huge").alias("source"), F.lit(1000).cast("long").alias("n_chars"))
+    d = huge.toDF("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(-1, "y", "en", None, 1)], SCHEMA))
+    rate = {r.source: r.rate for r in rates(d).collect()}
+    assert 1900 < rate[""] < 2100  # the defaults
+    got = [r.copy for r in poisson_mix(d).filter("doc_id = -1").collect()]
+    assert abs(len(got) - rate[""]) < 6 * rate[""] ** 0.5 and sorted(got) == list(range(len(got)))
+    # Mean and variance of many draws at a rate of 1,950, beside one drawn at once.
+    many = docs(spark, [(i, "abcd") for i in range(900)])
+    n = poisson_mix(many.select("doc_id", "text", "lang", F.when(F.col("doc_id") < 300, "a").otherwise("b").alias("source"), "n_chars"), {"a": 650, "b": 1}, epochs=651).groupBy("source", "doc_id").count().collect()
+    a = np.array([r["count"] for r in n if r.source == "a"])
+    assert len(a) == 300 and abs(a.mean() - 1950) < 6 * (1950 / 300) ** 0.5 and 0.6 < a.var() / 1950 < 1.5
+    assert len(set(a)) > 100
+
+
 def brute_simhash(text):
     import xxhash
 
