@@ -22,9 +22,11 @@ BITS = 20
 ALPHA, BETA, L2 = 1.0, 1.0, 1.0
 #: The L1 term for MAX_LABELLED rows; for fewer it falls with their square root, to 1 at least.
 L1 = 8.0
-#: L1 shrinks the weights of words that tell toxicity; log odds are raised by that much.
-SHIFT = 0.5
 EPOCHS = 5
+#: Parts of the labelled rows; the odds that calibrate the model come from models that didn't see the row's part.
+PARTS = 4
+#: The score of every text where there is nothing to learn from: no labels, or one label only.
+NEUTRAL = 0.25
 #: Labelled rows that the model is fitted on at most; they are chosen by a hash of their id.
 MAX_LABELLED = 10_000
 #: Word offsets of each kind of feature.
@@ -81,12 +83,39 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOC
             n[i] += g * g
     every = weight(np.arange(size))
     used = np.flatnonzero(every[:-1])
-    return used.astype(np.int32), every[used].astype(np.float32), float(every[-1]) + (SHIFT if l1 is None else 0.0)
-
-
-def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Fits on labelled(doc_id, text, toxic), which must be within max_labelled rows: one task fits the model, and the
-    weights, a few thousand, come to the driver. No rows, or one label only: the intercept alone."""
+    return used.astype(np.int32), every[used].astype(np.float32), float(every[-1])
+
+
+def calibrate(odds: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that turn odds of unseen rows into log odds: a logistic fit by damped Newton steps with a
+    small ridge."""
+    x = np.column_stack([odds, np.ones(len(odds))])
+    ridge, start = np.array([1.0, 1e-2]), np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(labels == 1, -1, 1) * (x @ w)).sum() + ridge @ (w - start) ** 2 / 2)
+
+    w = start
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(h, x.T @ (p - labels) + ridge * (w - start))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return float(max(w[0], 0.1)), float(w[1])
+
+
+def train(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fits on labelled(doc_id, text, toxic), a bounded sample: places, their weights and the intercept.
+
+    PARTS + 1 tasks fit a model each, all but one without a part of the rows, whose odds calibrate the model of all
+    rows. The weights, a few thousand, and an odd for each row come to the driver. Without rows of both labels there is
+    nothing to tell apart: no weights, and NEUTRAL's log odds.
+    """
     small_batches(labelled.sparkSession)
 
     def feature_rows(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,18 +126,33 @@ def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, bits: int = BIT
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary()), b.column("toxic").slice(i, j - i).cast(pa.int32())], names=["doc_id", "places", "toxic"])
 
     def fitted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for b in frames:
-            rows += zip(b.column("doc_id").to_pylist(), b.column("places").to_pylist(), b.column("toxic").to_pylist())
-        rows.sort(key=lambda r: (r[0] is None, r[0], r[1]))  # any order of arrival gives the same model
-        used, weights, intercept = fit([(np.frombuffer(p, dtype=np.int32), int(y)) for _, p, y in rows], bits)
-        yield pa.RecordBatch.from_arrays([pa.array([used.tobytes()]), pa.array([weights.tobytes()]), pa.array([intercept])], names=["used", "weights", "intercept"])
+        import xxhash
 
-    sets = labelled.select("doc_id", "text", "toxic").limit(max_labelled).mapInArrow(feature_rows, "doc_id bigint, places binary, toxic int")
-    model = sets.repartition(1).mapInArrow(fitted, "used binary, weights binary, intercept double").collect()
-    if not model:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
-    return np.frombuffer(model[0][0], np.int32), np.frombuffer(model[0][1], np.float32), model[0][2]
+        rows: dict[int, list] = {}
+        for b in frames:
+            for leave, *r in zip(*(b.column(c).to_pylist() for c in ("leave", "doc_id", "places", "toxic"))):
+                rows.setdefault(leave, []).append(r)
+        for leave, own in rows.items():
+            own.sort(key=lambda r: (r[0], r[1]))  # any order of arrival gives the same model
+            part = [xxhash.xxh64_intdigest(str(r[0]), 3) % PARTS for r in own]
+            sets = [(np.frombuffer(p, dtype=np.int32), int(y)) for _, p, y in own]
+            used, weights, intercept = fit([x for x, p in zip(sets, part) if p != leave], bits)
+            dense = np.zeros(1 << bits)
+            dense[used] = weights
+            out = [x for x, p in zip(sets, part) if p == leave]
+            told = [leave, used.tobytes(), weights.tobytes(), intercept, np.array([intercept + dense[p].sum() for p, _ in out]).tobytes(), np.array([y for _, y in out], dtype=np.int32).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([told[0]], pa.int32()), *(pa.array([x]) for x in told[1:])], names=["leave", "used", "weights", "intercept", "odds", "labels"])
+
+    rows = labelled.select("doc_id", "text", "toxic").mapInArrow(feature_rows, "doc_id bigint, places binary, toxic int")
+    each = rows.withColumn("leave", F.explode(F.array(*[F.lit(k) for k in range(PARTS + 1)]))).repartition(PARTS + 1, "leave")
+    models = {r["leave"]: r for r in each.mapInArrow(fitted, "leave int, used binary, weights binary, intercept double, odds binary, labels binary").collect()}
+    odds = np.concatenate([np.zeros(0), *(np.frombuffer(models[k]["odds"]) for k in range(PARTS) if k in models)])
+    labels = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(models[k]["labels"], np.int32) for k in range(PARTS) if k in models)])
+    if len(set(labels.tolist())) < 2:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(NEUTRAL / (1 - NEUTRAL)))
+    slope, shift = calibrate(odds, labels)
+    m = models[PARTS]
+    return np.frombuffer(m["used"], np.int32), np.frombuffer(m["weights"], np.float32) * np.float32(slope), m["intercept"] * slope + shift
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, learn_from=None) -> DataFrame:
@@ -122,7 +166,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, 0.97 * max_labelled / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows at most, 12 bytes each
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows at most, 12 bytes each
+    # Rows that repeat an id: the text of least digest stands for it, whatever the partitioning.
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    return found.groupBy("doc_id").agg(least.alias("text"), F.first("toxic").alias("toxic"))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS) -> DataFrame:
@@ -152,14 +199,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted. Labels are learnt only outside the fold held out."""
+    """Per document: doc_id, held_out, score, predicted. Labels are learnt only outside the fold held out. Null and empty
+    texts get the intercept's score; without labels of both kinds all get NEUTRAL, which predicts 0."""
     out = fold("doc_id", 5)
-    model = train(labelled_sample(docs, labels, max_labelled, out != 0), max_labelled)
+    model = train(labelled_sample(docs, labels, max_labelled, out != 0))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", F.coalesce(out == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The rows of docs that score below the threshold, with the same columns; learns from all labels."""
-    model = train(labelled_sample(docs, labels, max_labelled), max_labelled)
+    """The rows of docs that score below the threshold, with the same columns; learns from all labels. Where there are
+    no labels of both kinds, all rows stay (for any threshold over NEUTRAL)."""
+    model = train(labelled_sample(docs, labels, max_labelled))
     return score(boxed(docs, "text"), model).filter(F.col("score") < threshold).select("row.*")
