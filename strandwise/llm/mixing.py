@@ -57,8 +57,9 @@ def _cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step)["c"]
 
 
-def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The columns of docs(doc_id, text, source, ...), and copy (0, 1, ... of that document) and shuffle_key.
+def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: int = SEED, numbered: bool = True) -> DataFrame:
+    """The columns of docs(doc_id, text, source, ...), and copy (0, 1, ... of that document) and shuffle_key; numbered:
+    with these two, which stand in for columns of docs that have their names. Otherwise docs' columns alone, all of them.
 
     Rows come dealt by shuffle_key and sorted by it within each partition. Rows that repeat an id are drawn alike.
     A rate may be any: the work for a document is in proportion to its copies. An empty table gives an empty result.
@@ -68,7 +69,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     rate = rate.select("source", parts.alias("parts"), (F.col("rate") / parts).alias("rate")).select("source", "parts", _cdf(F.col("rate")).alias("cdf"))
     if rate.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         rate = F.broadcast(rate)
-    rows = boxed(docs, F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("id"), uniform(F.lit(seed), F.col("doc_id")).alias("u"), without=("copy", "shuffle_key"))
+    rows = boxed(docs, F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("id"), uniform(F.lit(seed), F.col("doc_id")).alias("u"), without=("copy", "shuffle_key") if numbered else ())
     draw = lambda u: F.size(F.filter("cdf", lambda c: c <= u))
     more = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, k: n + draw(uniform(F.lit(seed), F.col("id"), k)))
     n = F.when(F.col("parts") == 1, draw(F.col("u"))).otherwise(more)
@@ -77,4 +78,5 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     first = F.col("block") * BLOCK
     copies = blocks.select("row", "id", F.explode(F.sequence(first, F.least(first + F.lit(BLOCK), F.col("n")) - 1)).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit("mix"), F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy")).cast("binary"))
-    return copies.select("row.*", "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    dealt = copies.select("row", "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select("row.*", "copy", "shuffle_key") if numbered else dealt.select("row.*")
