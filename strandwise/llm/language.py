@@ -1,8 +1,10 @@
 """Language by multinomial naive Bayes over hashed character n-grams.
 
 Letters are lower-cased, runs of anything else become one gap, and all n-grams of 1 to MAX_N characters are counted in
-2^BITS places each. Counts are gathered from every learnt document: each task adds up its own, then blocks of places
-are added across tasks. The matrix of log probabilities (languages x places) is small and goes to all tasks.
+2^BITS places each. Counts are gathered from every learnt document: each task adds up its own and sends what isn't
+zero; then blocks of places are added across tasks, in two levels. The matrix of log probabilities (languages x places)
+is broadcast, in parts of GROUP languages: a text passes one part after the other, and keeps the best language so far
+and the sum of all probabilities. So any number of languages gives whole results in bounded memory.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import fold, small_batches
+from strandwise.llm.common import fold, materialise, small_batches
 
 BITS, MAX_N = 14, 3
 SMOOTHING = 0.5
-#: The matrix is refused beyond so many languages: 2^BITS * MAX_N * 4 bytes for each.
-MAX_LANGUAGES = 400
+#: Languages of one part of the matrix, 2^BITS * MAX_N * 4 bytes for each.
+GROUP = 256
+#: Languages that a task counts at once, and the parts that one block of places is added up in first.
+HELD, SALTS = 32, 32
 #: Places that are summed together.
 BLOCK = 1 << 13
 UNKNOWN = "und"
@@ -67,82 +71,128 @@ def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
         yield at, len(texts)
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log probabilities: a row for each with MAX_N * 2^BITS places and its prior at the end."""
-    spark = labelled.sparkSession
-    small_batches(spark)
+def counts(labelled: DataFrame) -> DataFrame:
+    """labelled(lang, text) -> lang, block, counts: a row for each language and block of places, the last place of all
+    being the number of texts. Rows come sorted by language and block within each partition."""
     places = MAX_N << BITS
 
-    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() % SALTS
         total: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, n in total.items():
+                parts = [n[i : i + BLOCK] for i in range(0, places + 1, BLOCK)]
+                some = [k for k, x in enumerate(parts) if x.any()]
+                at = [np.flatnonzero(parts[k]) for k in some]
+                yield record([lang] * len(some), some, [salt] * len(some), [x.astype(np.int32).tobytes() for x in at], [parts[k][x].tobytes() for k, x in zip(some, at)])
+            total.clear()
+
         for b in frames:
             by: dict[str, list[str]] = {}
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 by.setdefault(lang, []).append(text or "")
             for lang, texts in by.items():
-                own = total.setdefault(lang, np.zeros(places + 1, dtype=np.int64))
-                own[-1] += len(texts)
+                if lang not in total and len(total) >= HELD:
+                    yield from out()
+                n = total.setdefault(lang, np.zeros(places + 1, dtype=np.int64))
+                n[-1] += len(texts)
                 for i, j in slices(texts):
                     for p in grams(texts[i:j])[0]:
-                        own[:-1] += np.bincount(p, minlength=places)
-        for lang, own in total.items():
-            parts = [own[i : i + BLOCK].tobytes() for i in range(0, places + 1, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["lang", "block", "counts"])
+                        n[:-1] += np.bincount(p, minlength=places)
+        yield from out()
+
+    def record(lang: list, block: list, salt: list, at: list, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(block, pa.int32()), pa.array(salt, pa.int32()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "block", "salt", "at", "counts"])
 
     def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], np.ndarray] = {}
-        for b in frames:
-            for lang, block, counts in zip(*(c.to_pylist() for c in b.columns)):
-                own = np.frombuffer(counts, dtype=np.int64)
-                total[lang, block] = total[lang, block] + own if (lang, block) in total else own
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total], pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["lang", "block", "counts"])
+        """Rows come sorted by language and block; the salts of one come together."""
+        key, total = None, np.zeros(BLOCK, dtype=np.int64)
 
-    schema = "lang string, block int, counts binary"
+        def out() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return record([key[0]], [key[1]], [0], [at.astype(np.int32).tobytes()], [total[at].tobytes()])
+
+        for b in frames:
+            for lang, block, _, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                if key != (lang, block):
+                    if key:
+                        yield out()
+                    key = lang, block
+                    total[:] = 0
+                total[np.frombuffer(at, dtype=np.int32)] += np.frombuffer(n, dtype=np.int64)
+        if key:
+            yield out()
+
+    schema = "lang string, block int, salt int, at binary, counts binary"
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    found = known.mapInArrow(count, schema).repartition("lang", "block").mapInArrow(add, schema).limit(MAX_LANGUAGES * (places // BLOCK + 1) + 1).collect()
-    by: dict[str, dict[int, bytes]] = {}
-    for lang, block, counts in found:
-        by.setdefault(lang, {})[block] = counts
-    if len(by) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    some = known.mapInArrow(own, schema).repartition("lang", "block", "salt").sortWithinPartitions("lang", "block").mapInArrow(add, schema)
+    return some.repartition("lang", "block").sortWithinPartitions("lang", "block").mapInArrow(add, schema).select("lang", "block", "at", "counts")
+
+
+def train(labelled: DataFrame, group: int = GROUP) -> list[tuple[list[str], np.ndarray]]:
+    """The model in parts of `group` languages, in order: languages, and log probabilities, a row for each with
+    MAX_N * 2^BITS places and its prior at the end. No rows to learn from: no parts."""
+    small_batches(labelled.sparkSession)
+    places = MAX_N << BITS
+    by: dict[str, np.ndarray] = {}
+    for r in materialise(counts(labelled), "language-counts").toLocalIterator():
+        n = by.setdefault(r["lang"], np.zeros(places + 1, dtype=np.float32))
+        n[r["block"] * BLOCK + np.frombuffer(r["at"], dtype=np.int32)] = np.frombuffer(r["counts"], dtype=np.int64)
+    texts = sum(float(n[-1]) for n in by.values())
+    for n in by.values():
+        for k in range(MAX_N):
+            part = n[k << BITS : (k + 1) << BITS].astype(np.float64) + SMOOTHING
+            n[k << BITS : (k + 1) << BITS] = np.log(part / part.sum())
+        n[-1] = np.log(n[-1] / texts)
     langs = sorted(by)
-    counts = np.array([np.frombuffer(b"".join(x for _, x in sorted(by[lang].items())), dtype=np.int64) for lang in langs], dtype=np.float64).reshape(len(langs), places + 1)
-    logp = np.zeros((len(langs), places + 1), dtype=np.float32)
-    for n in range(MAX_N):
-        part = counts[:, n << BITS : (n + 1) << BITS] + SMOOTHING
-        logp[:, n << BITS : (n + 1) << BITS] = np.log(part / part.sum(axis=1, keepdims=True))
-    if langs:
-        logp[:, -1] = np.log(counts[:, -1] / counts[:, -1].sum())
-    return langs, logp
+    return [(langs[i : i + group], np.array([by[x] for x in langs[i : i + group]])) for i in range(0, len(langs), group)]
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, model: list[tuple[list[str], np.ndarray]]) -> DataFrame:
     """doc_id, text -> doc_id, lang_pred, score: the posterior probability of the language.
 
     Null texts and those without a letter: `und`, score 0; so are all where nothing was learnt. Ties go to the first
-    language in order.
+    language in order. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    langs, logp = model
-
-    def predicted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            best, score = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
-            best[:] = -1
-            for i, j in slices(texts) if langs else ():
-                places, begin, has = grams(texts[i:j])
-                total = np.repeat(logp[:, -1:].astype(np.float64), j - i, axis=1)
-                for p in places:
-                    for k in range(len(langs)):
-                        total[k] += np.add.reduceat(logp[k][p], begin[:-1], dtype=np.float64)
-                top = total.argmax(axis=0)
-                share = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
-                best[i:j], score[i:j] = np.where(has, top, -1), np.where(has, share, 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([langs[k] if k >= 0 else UNKNOWN for k in best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predicted, "doc_id bigint, lang_pred string, score double")
+    spark = docs.sparkSession
+    small_batches(spark)
+    names = ["doc_id", "text", "lang_pred", "best", "odds"]
+    schema = "doc_id bigint, text string, lang_pred string, best double, odds double"
+
+    def scan(part):
+        def scanned(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            langs, logp = part.value
+            for b in frames:
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                told = b.column("lang_pred").to_pylist()
+                best, odds = (b.column(c).to_numpy(zero_copy_only=False).copy() for c in ("best", "odds"))
+                for i, j in slices(texts):
+                    places, begin, has = grams(texts[i:j])
+                    total = np.repeat(logp[:, -1:].astype(np.float64), j - i, axis=1)
+                    for p in places:
+                        for k in range(len(langs)):
+                            total[k] += np.add.reduceat(logp[k][p], begin[:-1], dtype=np.float64)
+                    top = total.argmax(axis=0)
+                    most = total[top, np.arange(j - i)]
+                    own = np.exp(total - most).sum(axis=0)  # relative to this part's best
+                    before, was = best[i:j], odds[i:j]
+                    new = has & (most > before)
+                    high = np.maximum(most, before)
+                    odds[i:j] = np.where(has, own * np.exp(most - high) + was * np.exp(before - high), 0.0)
+                    best[i:j] = np.where(has, high, -np.inf)
+                    for x in np.flatnonzero(new):
+                        told[i + x] = langs[top[x]]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(told, pa.string()), pa.array(best), pa.array(odds)], names=names)
+
+        return scanned
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("-inf")).alias("best"), F.lit(0.0).alias("odds"))
+    for part in model:
+        rows = rows.mapInArrow(scan(spark.sparkContext.broadcast(part)), schema)  # GROUP languages, 50 MB at most
+    return rows.select("doc_id", "lang_pred", F.when(F.col("odds") > 0, 1 / F.col("odds")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def language(docs: DataFrame) -> DataFrame:
