@@ -4,7 +4,8 @@ Canonical form: NFKC, case folding, NFKC once more, and each run of white space
 fingerprint is its 128-bit XXH3 digest. Texts with one digest are one bucket, and within a bucket the canonical bytes
 are compared: should a bucket hold different texts, which only an attack would bring about, all texts of that digest
 get their SHA-256 appended. Only texts whose digest repeats are moved for that comparison: a bitmap of a fixed size
-tells them when the texts are read again (a false hit moves one text more).
+tells them when the texts are read again (a false hit moves one text more). Digests with different texts are told by
+such a bitmap, too, so any number of them is handled; a false hit has its SHA-256 appended for nothing.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from strandwise.llm.common import materialise, small_batches
 
 #: Places of the bitmap of repeated digests, 4 MB.
 BITMAP = 1 << 25
-#: Buckets with different texts that are accepted; there are none unless someone makes them.
-MAX_COLLISIONS = 10_000
 
 
 def canonical(text: str) -> bytes:
@@ -36,11 +35,26 @@ def xxh3(form: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(form)
 
 
-def _place(digest: str) -> int:
-    return int(digest[:8], 16) % BITMAP
+class Digests:
+    """A set of digests as a bitmap of BITMAP places: has every digest that was put in, and perhaps others."""
 
+    def __init__(self, found: DataFrame):
+        """found(digest): distributed; BITMAP / 8 bytes at most come to the driver."""
+        p = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % BITMAP + 1  # bitmaps count from 1
+        places = found.select(p.alias("p"))
+        bits = places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+        self.maps = {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}
 
-def repeated(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> set[str]:
+    def __bool__(self) -> bool:
+        return bool(self.maps)
+
+    def __contains__(self, digest: str) -> bool:
+        p = int(digest[:8], 16) % BITMAP
+        bits = self.maps.get(p // 32768 + 1)  # buckets count from 1, places within from 0
+        return bits is not None and bool(bits[p % 32768 // 8] >> p % 8 & 1)
+
+
+def shared_digests(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> Digests:
     """Digests that different canonical texts of docs(text) have."""
 
     def digests(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,30 +62,21 @@ def repeated(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> set[str]
             yield pa.RecordBatch.from_arrays([pa.array([digest(canonical(t or "")) for t in b.column(0).to_pylist()], pa.string())], names=["digest"])
 
     counts = docs.select("text").mapInArrow(digests, "digest string").groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % BITMAP
-    often = counts.filter("n > 1").select((place + 1).alias("p"))  # bitmaps count from 1
-    bits = often.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    maps = {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}  # BITMAP / 8 bytes at most
-    if not maps:
-        return set()
+    often = Digests(counts.filter("n > 1"))
+    if not often:
+        return often
 
     def flagged(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
             out = []
             for t in b.column(0).to_pylist():
-                d = digest(form := canonical(t or ""))
-                p = _place(d)
-                bits = maps.get(p // 32768 + 1)  # buckets count from 1, places within from 0
-                if bits and bits[p % 32768 // 8] >> p % 8 & 1:
+                if (d := digest(form := canonical(t or ""))) in often:
                     out.append((d, pa.compress(form, codec="zstd", asbytes=True)))  # lossless: equal only for equal bytes
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["digest", "form"])
 
     # Copies merge before they are sent, so a bucket of many is a row from each task.
     forms = docs.select("text").mapInArrow(flagged, "digest string, form binary").groupBy("digest", "form").agg(F.count(F.lit(1)).alias("n"))
-    several = forms.groupBy("digest").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1").select("digest").limit(MAX_COLLISIONS + 1).collect()
-    if len(several) > MAX_COLLISIONS:
-        raise ValueError(f"over {MAX_COLLISIONS} digests that different texts share")
-    return {r["digest"] for r in several}
+    return Digests(forms.groupBy("digest").agg(F.count(F.lit(1)).alias("forms")).filter("forms > 1"))
 
 
 def fingerprints(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> DataFrame:
@@ -84,7 +89,7 @@ def fingerprints(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> Data
     """
     spark = docs.sparkSession
     small_batches(spark, 512)
-    shared = repeated(docs, digest)
+    shared = shared_digests(docs, digest)
 
     def print_of(text: str) -> str:
         d = digest(form := canonical(text))
@@ -94,6 +99,8 @@ def fingerprints(docs: DataFrame, digest: Callable[[bytes], str] = xxh3) -> Data
         n = len(text)
         edited = text[: n - n // 3] + following[: n // 3]
         other = own if edited == text else print_of(edited)
+        if other == own and edited != text and canonical(edited) != canonical(text):  # compared by bytes, as in a bucket
+            other = f"{own}-{hashlib.sha256(canonical(edited)).hexdigest()}"
         sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
         return doc_id, n, sha, own, other, float(own == other), float(own == following_print)
 
