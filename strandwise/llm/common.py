@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: intermediate tables, splitting work, connected components."""
+"""What the operators of this subpackage share: intermediate tables, splitting work, folds."""
 
 from __future__ import annotations
 
@@ -20,9 +20,12 @@ ARROW_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of
+    its own; a cluster gets an error, as a folder of one machine would lose rows there."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"strandwise-{os.getpid()}")
     return found.rstrip("/")
 
@@ -35,6 +38,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialise wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/strandwise/" in f:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bounds the rows that a Python worker gets at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -5,19 +5,20 @@ combined within their own partition (the partial aggregate), then within salted
 digest, salt and text), and the winners of the salts are combined once more. Every stage groups on the whole text
 next to its digest, so two texts that only share a digest never merge.
 
-Only digests that hold more than HOT_SHARE of all rows are salted: there are fewer than 1 / HOT_SHARE of those, so
-their list has a proven size bound and may be broadcast. All other texts cross the network once.
+Salted are the digests that repeat and hold at least HOT_SHARE of all rows: there are fewer than 1 / HOT_SHARE of those,
+so their list has a proven size bound and may be broadcast. All other texts cross the network once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.llm.common import boxed, materialise
 
-#: A digest is hot when it holds at least this share of the rows, and HOT_ROWS rows.
-HOT_SHARE, HOT_ROWS = 1 / 2048, 1000
+#: A digest is hot when it holds at least this share of the rows, and HOT_ROWS rows: of fewer than 4,096 rows, all that
+#: repeat.
+HOT_SHARE, HOT_ROWS = 1 / 2048, 2
 SALTS = 32
 
 
@@ -39,9 +40,11 @@ def exact_dedup(docs: DataFrame, digest=sha256, hot_share: float = HOT_SHARE, ho
     """
     rows = docs.select(F.col("doc_id").alias("doc_id"), fold_spaces(F.col("text")).alias("t")).withColumn("h", digest(F.col("t")))
     true_digest = rows if digest is sha256 else rows.withColumn("sha", sha256(F.col("t")))
-    ids = materialise(true_digest.select("doc_id", "h", *([] if digest is sha256 else ["sha"])), "exact-ids")
-    least = max(hot_rows, int(ids.count() * hot_share))
-    hot = ids.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("h", F.lit(True).alias("hot"))
+    # Rows that repeat an id and a digest are one row with their number, as they differ in nothing that is returned.
+    keys = ["doc_id", "h"] if digest is sha256 else ["doc_id", "h", "sha"]
+    ids = materialise(true_digest.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")), "exact-ids")
+    least = max(hot_rows, int((ids.agg(F.sum("times")).collect()[0][0] or 0) * hot_share))
+    hot = ids.groupBy("h").agg(F.sum("times").alias("n")).filter(F.col("n") >= least).select("h", F.lit(True).alias("hot"))
     hot = materialise(hot, "exact-hot")  # fewer than 1 / hot_share rows
 
     salted = (
@@ -60,24 +63,24 @@ def exact_dedup(docs: DataFrame, digest=sha256, hot_share: float = HOT_SHARE, ho
     # Digests that several texts share: none with SHA-256, but then the members must be told apart by their text.
     shared = warm.unionByName(most).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     shared = materialise(shared, "exact-shared")
+    if digest is sha256:
+        most = F.broadcast(most)  # as many rows as hot digests; another digest may have any number of texts for each
     found = [
         ids.join(F.broadcast(hot), "h", "left_anti").join(warm, "h"),
-        ids.join(F.broadcast(hot), "h", "left_semi").join(F.broadcast(most), "h"),
+        ids.join(F.broadcast(hot), "h", "left_semi").join(most, "h"),
     ]
     if not shared.isEmpty():
-        members = true_digest.join(shared, "h", "left_semi")
-        groups = members.groupBy("h", "t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        members = true_digest.join(shared, "h", "left_semi").groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("times"))
+        groups = members.groupBy("h", "t").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
         found = [f.join(shared, "h", "left_anti") for f in found] + [members.join(groups, ["h", "t"]).drop("t")]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    out = out.withColumn("text_sha256", F.col("h" if digest is sha256 else "sha"))
-    # Rows that repeat the id that stays: the first of them. All others have another id, and need no ordering.
-    first = F.row_number().over(Window.partitionBy("h", "doc_id", "group_size").orderBy("doc_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    stay = out.filter(same).withColumn("kept", first == 1)
-    go = out.filter(~same).withColumn("kept", F.lit(False))
-    return stay.unionByName(go).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
+    # Of rows that repeat the id that stays, the first stays.
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
+    digests = F.col("h" if digest is sha256 else "sha").alias("text_sha256")
+    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), stays.alias("kept"), digests)
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
