@@ -1,36 +1,34 @@
 """Byte-level BPE encoding and decoding with a public rank file, by overlapping chunks.
 
-A text is cut into chunks that overlap. Each chunk is split by the pre-token pattern on its own, in parallel. Where one
-chunk ends and the next began the pre-token ends of both are compared: a match of the pattern depends only on where it
-begins and on what follows, so from the first end that both have they agree for good, and the chunks are stitched
-there. Ends close to a chunk's end aren't trusted, as what follows is missing. If an overlap has no common end, the
-scan goes on from the last sure end until one is found. The pieces are then encoded by merging bytes, lowest rank first.
-
-Texts of up to LONG characters stay in one row; longer ones are dealt out as a row for each chunk, split in parallel,
-stitched, and dealt out again for encoding. Decoding concatenates the bytes of the ids.
+A text of over LONG characters is cut into chunks of that length, which overlap and are dealt out as rows. Each chunk is
+split by the pre-token pattern and encoded on its own, in parallel: its pieces' bytes are merged, lowest rank first.
+Where one chunk ends and the next began, the ends of both scans' pieces are compared: a match of the pattern depends
+only on where it begins and on what follows, so from the first end that both have they agree for good, and the chunks'
+ids are stitched there. Ends close to a chunk's end aren't trusted, as what follows is missing. A text with an overlap
+without a common end, that is with a piece longer than an overlap, is split in one go. Shorter texts are one chunk.
+Decoding concatenates the bytes of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from strandwise.llm.common import small_batches
+from strandwise.llm.common import materialise, small_batches
 
-CHUNK, OVERLAP, LONG = 8192, 256, 65536
+LONG, OVERLAP = 8192, 256
 #: A contraction is the longest that a pattern looks ahead; ends closer to a chunk's end aren't trusted.
 TAIL = 4
-#: Pieces that a worker remembers.
-CACHE = 1 << 18
-#: Characters that are merged in one call of the library.
-SPAN = 1 << 17
+#: Pieces that a worker remembers, and their length at most.
+CACHE, MEMORABLE = 1 << 18, 64
 
 
 def pattern(text: str):
@@ -40,19 +38,28 @@ def pattern(text: str):
     return regex.compile(text, regex.V0 | regex.UNICODE)
 
 
+class _Known(dict):
+    """Ids of the pieces that were met, worked out when a piece is asked for first."""
+
+    def __init__(self, merge):
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.merge(piece.encode("utf-8", "replace"))
+        if len(piece) <= MEMORABLE:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ranks and the pre-token pattern; encodes pieces and decodes ids."""
 
     def __init__(self, ranks: dict[bytes, int], pat: str):
         self.ranks, self.find = ranks, pattern(pat)
         self.bytes = {v: k for k, v in ranks.items()}
-        self.known: dict[str, list[int]] = {}
-        try:
-            import tiktoken
-
-            self.fast = tiktoken.Encoding("ranks", pat_str=pat, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        except ImportError:
-            self.fast = None
+        self.known = _Known(self.merge)
 
     @classmethod
     def load(cls, path: str, pat: str) -> Encoder:
@@ -110,93 +117,58 @@ class Encoder:
             i = end[i]
         return out
 
-    def ends(self, text: str, at: int = 0) -> list[int]:
-        """Where the pre-tokens of text from there on end."""
-        return [m.end() for m in self.find.finditer(text, at)]
-
-    def piece_ids(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = self.merge(piece.encode("utf-8", "replace"))
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of text, which cover it."""
+        return [m.group() for m in self.find.finditer(text)] if self.find.groups else self.find.findall(text)
 
-    def encode_span(self, text: str, at: int, end: int, cut: list[int] | None) -> list[int]:
-        """The ids of text from at to end, both true ends of pre-tokens. cut: the ends within, if they are known.
-
-        The library's merges take spans of common length; others, such as one giant piece, are merged here."""
-        if not self.fast or end - at > SPAN:
-            part = text[at : end + TAIL]  # the pattern looks at what follows white space
-            return self.encode_cut(part, [e for e in self.ends(part) if e <= end - at] if cut is None else [e - at for e in cut])
-        rest = end
-        if end < len(text):
-            while rest > at and text[rest - 1].isspace():
-                rest -= 1
-        ids = self.fast(text[at:rest])
-        if rest < end:
-            part = text[rest : end + TAIL]
-            ids = ids + self.encode_cut(part, [e for e in self.ends(part) if e <= end - rest])
-        return ids
-
-    def encode_cut(self, text: str, cut: list[int]) -> list[int]:
-        """The ids of the pre-tokens of text that end there; the first begins at 0."""
-        out: list[int] = []
-        known, at = self.known, 0
-        for e in cut:
-            piece = text[at:e]
-            at = e
-            out += known.get(piece) or self.piece_ids(piece)
-        return out
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.known.__getitem__, self.pieces(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-def chunks(n: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Where the chunks of a text of n characters begin and end."""
-    return [(i, min(n, i + chunk + overlap)) for i in range(0, max(1, n), chunk)]
-
-
-def sure_ends(encoder: Encoder, text: str, begin: int, last: bool) -> list[int]:
-    """The ends that a chunk's own scan finds and that don't depend on what follows the chunk; in the whole text."""
-    found = encoder.ends(text)
-    return [begin + e for e in found if last or e <= len(text) - TAIL]
-
-
-def stitch(parts: list[tuple[int, list[int]]], encoder: Encoder, text: str) -> list[list[int]]:
-    """parts: of each chunk where it begins and its sure ends. Gives each chunk the true ends that it is to encode."""
-    out: list[list[int]] = []
-    sure = 0  # a true end, or the text's begin
-    for k, (begin, ends) in enumerate(parts):
-        mine: list[int] = []
-        i = bisect_left(ends, sure)
-        if k and begin != sure and not (i < len(ends) and ends[i] == sure):
-            # no common end yet: go on from the sure one until an end of this chunk is met
-            own = set(ends)
-            limit = parts[k + 1][0] if k + 1 < len(parts) else len(text)
-            for m in encoder.find.finditer(text, sure):
-                if sure >= limit and sure not in own:
-                    break
-                mine.append(m.end())
-                sure = m.end()
-                if sure in own:
-                    break
-            i = bisect_left(ends, sure)
-        following = parts[k + 1] if k + 1 < len(parts) else None
-        common = set(following[1]) if following else ()
-        while i < len(ends):
-            e = ends[i]
-            i += 1
-            if e <= sure:
-                continue
-            mine.append(e)
-            sure = e
-            if following and e >= following[0] and (e in common or e == following[0]):
-                break
-        out.append(mine)
-    return out
+def cut(text: str, size: int, overlap: int) -> Iterator[tuple[int, str, bool]]:
+    """The chunks of a text: number, characters (the overlap with the next one included), whether it is the last."""
+    for k, i in enumerate(range(0, max(1, len(text)), size)):
+        yield k, text[i : i + size + overlap], i + size >= len(text)
+
+
+def encode_chunk(encoder: Encoder, part: str, size: int, overlap: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk by itself: the ids of its pieces; pairs (place, ids before it) of the ends in its first overlap characters,
+    its begin included; and those of the sure ends in the overlap with the next chunk, counted from where that begins."""
+    pieces = encoder.pieces(part)
+    ids = [encoder.known[p] for p in pieces]
+    ends = np.cumsum([0, *map(len, pieces)])
+    before = np.cumsum([0, *map(len, ids)])
+    both = np.column_stack([ends, before]).astype(np.int32)
+    head = both[ends <= overlap]
+    tail = both[(ends >= size) & (ends <= len(part) - TAIL)] if not last else both[:0]
+    return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(before[-1])), head, tail - np.array([size, 0], dtype=np.int32)
+
+
+class Stitcher:
+    """Joins a text's chunks, which come in order: those before and after an overlap agree from the first end on that
+    both have. fine: every overlap had one."""
+
+    def __init__(self):
+        self.ids: np.ndarray | None = None
+        self.begin, self.tail, self.fine = 0, None, True
+
+    def add(self, ids: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """The ids that are sure by now, after those that were told before."""
+        told, begin = np.zeros(0, dtype=np.int32), 0
+        if self.ids is not None and self.fine:
+            _, own, other = np.intersect1d(self.tail[:, 0], head[:, 0], return_indices=True)
+            if len(own):
+                told, begin = self.ids[self.begin : self.tail[own[0], 1]], head[other[0], 1]
+            else:
+                self.fine = False
+        self.ids, self.begin, self.tail = ids, begin, tail
+        return told
+
+    def rest(self) -> np.ndarray:
+        return self.ids[self.begin :]
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -215,109 +187,128 @@ def _encoder(path: str, pat: str) -> Encoder:
     return _loaded[path, pat]
 
 
-def encode_text(encoder: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The ids of a text."""
-    if len(text) <= chunk:
-        return encoder.encode_span(text, 0, len(text), None)
-    cut = chunks(len(text), chunk, overlap)
-    parts = [(a, sure_ends(encoder, text[a:b], a, b == len(text))) for a, b in cut]
-    out: list[int] = []
-    at = 0
-    for mine in stitch(parts, encoder, text):
-        if mine:
-            out += encoder.encode_span(text, at, mine[-1], mine)
-            at = mine[-1]
-    return out
-
-
-def part_ids(encoder: Encoder, text: str, begin: int, own: int, following: int, last: bool) -> list[int] | None:
-    """What one chunk of a dealt-out text adds. text: from the previous chunk's begin on, to the overlap after the next
-    one's; own and following: where this chunk and the next begin in it. None: an overlap has no common end."""
-
-    def common(a: int, b: int) -> int | None:
-        """The first end that scans from a and from b both have."""
-        stop = min(len(text), b + OVERLAP)
-        sure = len(text) if last and stop == len(text) else stop - TAIL
-        ends = {e for m in encoder.find.finditer(text[:stop], a) if b <= (e := m.end()) <= sure}
-        if a == b or b in ends:
-            return b
-        return next((e for m in encoder.find.finditer(text[:stop], b) if (e := m.end()) in ends), None)
-
-    first = 0 if own == begin else common(begin, own)
-    end = len(text) if last else common(own, following)
-    if first is None or end is None:
-        return None
-    return encoder.encode_span(text, first, end, None) if first < end else []
-
-
-def token_ids(docs: DataFrame, each, schema: str, fields: list[tuple[str, pa.DataType]], path: str | None = None, pat: str | None = None, long: int = LONG) -> DataFrame:
-    """docs(doc_id, text) -> doc_id and what each(encoder, ids) returns for the row's ids, as schema and fields say.
+class Digests:
+    """Takes a text's ids in parts: n_tokens, ids_sha256, decoded_sha256."""
+
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    kinds = (pa.int64(), pa.string(), pa.string())
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.n, self.ids, self.decoded = encoder, 0, hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: list[int]) -> None:
+        if ids:
+            self.ids.update(((" " if self.n else "") + " ".join(map(str, ids))).encode())
+            self.decoded.update(self.encoder.decode(ids))
+            self.n += len(ids)
+
+    def done(self) -> tuple:
+        return self.n, self.ids.hexdigest(), self.decoded.hexdigest()
+
+
+class Ids:
+    """Takes a text's ids in parts: all of them."""
+
+    schema = "ids array<int>"
+    kinds = (pa.list_(pa.int32()),)
+
+    def __init__(self, encoder: Encoder):
+        self.ids: list[int] = []
+
+    def add(self, ids: list[int]) -> None:
+        self.ids += ids
+
+    def done(self) -> tuple:
+        return (self.ids,)
+
+
+def token_ids(docs: DataFrame, kind, path: str | None = None, pat: str | None = None, long: int = LONG) -> DataFrame:
+    """docs(doc_id, text) -> doc_id and the columns of kind, which takes each row's ids in parts.
 
     Null texts count as empty. path: the rank file, on every executor at that place.
     """
     small_batches(docs.sparkSession, 256)
     if path is None:
         path, pat = default_vocabulary()
+    size, overlap = max(1, long), max(1, min(OVERLAP, long))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    names = [c.split()[0] for c in kind.schema.split(", ")]
+
+    def record(keys: pa.Array, key: str, told: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, *(pa.array([x[j] for x in told], t) for j, t in enumerate(kind.kinds))], names=[key, *names])
+
+    def whole(key: str):
+        def encoded(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoder = _encoder(path, pat)
+            for b in frames:
+                for i in range(0, b.num_rows, 64):
+                    told = []
+                    for t in b.column("text").slice(i, 64).to_pylist():
+                        sink = kind(encoder)
+                        sink.add(encoder.encode(t))
+                        told.append(sink.done())
+                    yield record(b.column(key).slice(i, len(told)), key, told)
+
+        return encoded
+
+    short = rows.filter(F.length("text") <= long).mapInArrow(whole("doc_id"), f"doc_id bigint, {kind.schema}")
+    # Longer texts: a row for each chunk; equal texts once.
+    lengthy = rows.filter(F.length("text") > long).withColumn("key", F.sha2("text", 256))
+    texts = lengthy.select("key", "text").distinct()
 
-    def out(b: pa.RecordBatch, key: str, ids: list[list[int]], encoder: Encoder) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(ids), 64):
-            part = [each(encoder, x) for x in ids[i : i + 64]]
-            yield pa.RecordBatch.from_arrays([b.column(key).slice(i, len(part)), *(pa.array([x[j] for x in part], kind) for j, (_, kind) in enumerate(fields))], names=[key, *(n for n, _ in fields)])
+    def deal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                parts = list(cut(text, size, overlap))
+                for i in range(0, len(parts), 256):
+                    some = parts[i : i + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(some)), pa.array([x[0] for x in some], pa.int32()), pa.array([x[1] for x in some], pa.string()), pa.array([x[2] for x in some])], names=["key", "k", "part", "last"])
 
-    def whole(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pat)
         for b in frames:
-            yield from out(b, "doc_id", [encode_text(encoder, t) for t in b.column("text").to_pylist()], encoder)
+            told = [encode_chunk(encoder, t, size, overlap, last) for t, last in zip(b.column("part").to_pylist(), b.column("last").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), *(pa.array([np.ascontiguousarray(x[j]).tobytes() for x in told], pa.binary()) for j in range(3))], names=["key", "k", "ids", "head", "tail"])
 
-    short = rows.filter(F.length("text") <= long).mapInArrow(whole, f"doc_id bigint, {schema}")
-
-    # Longer texts: a row for each chunk of half that length; equal texts once.
-    size = max(1, long // 2)
-    lengthy = rows.filter(F.length("text") > long).withColumn("key", F.sha2("text", 256))
-    texts = lengthy.select("key", "text").dropDuplicates(["key"])
-    n = F.length("text")
-    begin = F.col("k") * size
-    previous = F.greatest(F.lit(0), begin - size)
-    dealt = (
-        texts.select("key", "text", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("k"))
-        .select("key", "k", F.substring(F.col("text"), previous + 1, begin + size + OVERLAP - previous).alias("text"), (begin - previous).alias("own"), (n <= begin + size).alias("last"))
-        .repartition("key", "k")
-    )
-
-    def parts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stitched(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks come sorted by text and number. A text without a common end in some overlap: nulls."""
         encoder = _encoder(path, pat)
-        for b in frames:
-            ids = [part_ids(encoder, t, 0, own, own + size, last) for t, own, last in zip(b.column("text").to_pylist(), b.column("own").to_pylist(), b.column("last").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "k", "ids"])
+        now = sink = joint = None
 
-    pieces = dealt.mapInArrow(parts, "key string, k int, ids array<int>")
-    # One text's ids meet in one row: the digest of a text needs them in order.
-    both = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("x"), F.min(F.col("ids").isNotNull()).alias("fine"))
-    both = both.select("key", F.when(F.col("fine"), F.flatten(F.col("x.ids"))).alias("ids"))
+        def out() -> pa.RecordBatch:
+            sink.add(joint.rest().tolist())
+            return record(pa.array([now]), "key", [sink.done() if joint.fine else (None,) * len(names)])
 
-    def collected(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pat)
         for b in frames:
-            ids = [encode_text(encoder, t) if x is None else x for x, t in zip(b.column("ids").to_pylist(), b.column("text").to_pylist())]
-            yield from out(b, "doc_id", ids, encoder)
-
-    again = lengthy.join(both, "key").select("doc_id", "ids", F.when(F.col("ids").isNull(), F.col("text")).alias("text"))
-    return short.unionByName(again.mapInArrow(collected, f"doc_id bigint, {schema}"))
+            for key, *parts in zip(*(b.column(c).to_pylist() for c in ("key", "ids", "head", "tail"))):
+                if key != now:
+                    if now is not None:
+                        yield out()
+                    now, sink, joint = key, kind(encoder), Stitcher()
+                ids, head, tail = (np.frombuffer(x, dtype=np.int32) for x in parts)
+                sink.add(joint.add(ids, head.reshape(-1, 2), tail.reshape(-1, 2)).tolist())
+        if now is not None:
+            yield out()
+
+    dealt = texts.mapInArrow(deal, "key string, k int, part string, last boolean").repartition("key", "k")
+    pieces = dealt.mapInArrow(chunks, "key string, k int, ids binary, head binary, tail binary")
+    schema = f"key string, {kind.schema}"
+    told = materialise(pieces.repartition("key").sortWithinPartitions("key", "k").mapInArrow(stitched, schema), "bpe-long")
+    fine = told.filter(F.col(names[0]).isNotNull())
+    broken = told.filter(F.col(names[0]).isNull()).select("key")
+    if not broken.isEmpty():  # a piece of more than an overlap: these texts are encoded in one go
+        fine = fine.unionByName(texts.join(broken, "key", "left_semi").mapInArrow(whole("key"), schema))
+    return short.unionByName(lengthy.select("doc_id", "key").join(fine, "key").select("doc_id", *names))
 
 
 def encode(docs: DataFrame, path: str | None = None, pat: str | None = None, long: int = LONG) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256. Null texts count as empty."""
-
-    def each(encoder: Encoder, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
-
-    return token_ids(docs, each, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())], path, pat, long)
+    return token_ids(docs, Digests, path, pat, long)
 
 
 def encode_ids(docs: DataFrame, path: str | None = None, pat: str | None = None, long: int = LONG) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids: the token ids themselves."""
-    return token_ids(docs, lambda _, ids: (ids,), "ids array<int>", [("ids", pa.list_(pa.int32()))], path, pat, long)
+    return token_ids(docs, Ids, path, pat, long)
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None, pat: str | None = None) -> DataFrame:
