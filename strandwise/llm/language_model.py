@@ -1,249 +1,262 @@
-"""Language-model scores by a hierarchical Pitman-Yor model.
-
-Vocabulary. The FREQUENT most frequent training words are symbols of their own; every other word belongs to one of
-CLASSES classes by its ending, and the class is its symbol. All counts cover all training tokens.
-
-Restaurants. The root restaurant serves symbols; each symbol has a context restaurant for what follows it, and these
-share the root as their parent: a new table there is a customer of the root. Each class has a restaurant that serves
-its words; unseen words are its new dish. A word's probability is that of its symbol in its context, times, for a class,
-that of the word in the class.
-
-Seating. Customers of a context who have the same dish sit at tables. Each Gibbs step takes a random customer of every
-dish of every context away and seats him again: at a table of k others with weight k - d, or at a new one with weight
-(strength + d * tables) times the dish's probability in the root. After burn-in the predictive probabilities of several
-seatings are averaged. The restaurants over symbols have at most (FREQUENT + CLASSES)^2 dishes, whatever the input, so
-one process samples them; the words' counts, which grow with the input, stay distributed.
-
-Counts. Texts are dealt to chunks of bounded size. A chunk sends each of its distinct words' hashes and counts once to
-the bucket that owns the hash, in one message for each bucket; the bucket adds up and answers each message with the
-totals, which meet the chunk's texts again for scoring. Words are told apart by 64-bit hashes.
+"""Language-model scores by a hierarchical Pitman-Yor model over the whole vocabulary.
+
+Restaurants. Each word that occurs is a context and has a restaurant for the words that follow it; a text's end is the
+context of the next text's first word. All these share the root restaurant as their parent: a table there is a customer
+of the root, whose own parent is uniform over the V known words and one dish for all unknown ones.
+
+Seating. Only the number of tables of each dish of each restaurant is kept, as the sizes can be summed out: c customers
+sit at t tables with a weight of S(c, t) * a^t, where S are the generalised Stirling numbers of the discount and a is
+(strength + discount * tables) times the dish's probability in the parent, both but for the cell's own tables and growing
+with each of them. A Gibbs sweep draws the tables of every
+dish of every restaurant anew, over all its customers; dishes with one customer have one table. All cells are drawn at
+once, given the other cells' tables of the sweep before, as is usual for Gibbs sampling over many machines. After
+burn-in the predictive probabilities of the following seatings are averaged.
+
+Dealing. A chunk is what one task read, up to CHUNK_BYTES of text. It sends the words that it holds, once each, to the
+buckets that own their hashes, which number them and add up. Pairs of numbers then go to shards by a hash of *both*
+words, so that no restaurant, however large, is one task's burden; what belongs to a word (tables of its restaurant,
+customers and tables of it in the root) is added up by its bucket and told to the shards that asked. Buckets and shards
+are as many as spark.sql.shuffle.partitions. Chunks, counts and seatings are written between the steps. Words are told
+apart by 64-bit hashes. The driver holds a few numbers for each bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import fold, materialise, small_batches
+from strandwise.llm.common import discard, fold, materialise, small_batches
 from strandwise.llm.words import batches, hashed, mix
 
-FREQUENT, CLASSES = 1024, 512
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 12_000_000
 STRENGTH = 1.0
-BURN_IN, SAMPLES, STEPS = 8, 4, 3
+BURN_IN, SAMPLES = 3, 3
+#: Customers up to which the Stirling numbers are used themselves; beyond, their limit for many customers carries on.
+EXACT = 32
 #: The token that ends a text, and the context of the first word.
 END = 0xE7D0_0000_0000_0001
 
+#: What the steps send each other: dest has the rows that it gets sorted by kind and src.
+_NAMES = ["deal", "dest", "kind", "src", "a", "b", "c", "d"]
+_SCHEMA = "deal bigint, dest bigint, kind int, src bigint, a binary, b binary, c binary, d binary"
+_WORDS, _CHUNK, _ANSWER, _PAIRS, _SINGLE, _ACTIVE, _SUMS, _TABLES, _SAMPLE, _FOUND, _TOLD, _SUMMARY = range(12)
+Row = tuple[int, int, int, int, bytes | None, bytes | None, bytes | None, bytes | None]
+
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and classes of all tokens in order, each text's ends included, and where each text begins (and the end)."""
-    h, begin, buf, first, last = hashed(texts)
-    code = buf[last].astype(np.uint64) if len(last) else np.zeros(0, dtype=np.uint64)
-    for back in (1, 2):
-        at = last - back
-        code = code * np.uint64(257) + np.where(at >= first, buf[np.maximum(at, 0)], 0).astype(np.uint64) + np.uint64(1)
-    kind = (mix(code) % np.uint64(CLASSES)).astype(np.int32)
-    return np.insert(h, begin[1:], np.uint64(END)), np.insert(kind, begin[1:], 0), begin + np.arange(len(begin))
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens in order, each text's end included, and where each text begins (and the end)."""
+    h, begin, *_ = hashed(texts)
+    return np.insert(h, begin[1:], np.uint64(END)), begin + np.arange(len(begin))
 
 
 def lower(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of integers, those of equal weight together: the many zeros then compress well."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def _unplanes(b: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def _groups(frames: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
-    """Slices of consecutive rows that have one key; rows come sorted by it. Each group must be read to its end."""
-    source = iter(frames)
-    held: list[pa.RecordBatch] = []
-
-    def pull() -> bool:
-        for b in source:
-            if b.num_rows:
-                held.append(b)
-                return True
-        return False
-
-    while held or pull():
-        now = held[0].column(key)[0].as_py()
-
-        def group() -> Iterator[pa.RecordBatch]:
-            while held or pull():
-                b = held.pop()
-                own = b.column(key).to_numpy(zero_copy_only=False) == now
-                n = b.num_rows if own.all() else int(np.argmin(own))
-                if n < b.num_rows:
-                    held.append(b.slice(n))
-                if n:
-                    yield b.slice(0, n)
-                if n < b.num_rows:
-                    return
-
-        yield now, group()
-
-
-def _buckets(u: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's part of the sorted hashes begins, and the end."""
-    of = ((u >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
-    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
-
-
-def count_words(docs: DataFrame, chunks: int) -> DataFrame:
-    """docs(chunk, text, learn) -> answers (bucket, chunk, totals) and statistics (chunk -1) of each bucket."""
-
-    def send(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, parts in _groups(frames, "chunk"):
-            h, kind, learn = [], [], []
-            for b in parts:
-                texts = [lower(t) for t in b.column("text").to_pylist()]
-                own = b.column("learn").to_numpy(zero_copy_only=False)
-                for i, j in batches(texts):
-                    x, k, begin = tokens(texts[i:j])
-                    h.append(x)
-                    kind.append(k)
-                    learn.append(np.repeat(own[i:j], np.diff(begin)))
-            u, first, at = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate(learn), minlength=len(u)).astype(np.uint32)
-            k = np.concatenate(kind)[first].astype(np.uint16)
-            cut = _buckets(u, chunks)
-            rows = [x for x in range(chunks) if cut[x] < cut[x + 1]]
-            for i in range(0, len(rows), 256):
-                some = [slice(cut[x], cut[x + 1]) for x in rows[i : i + 256]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows[i : i + 256], pa.int32()),
-                        pa.array([chunk] * len(some), pa.int32()),
-                        pa.array([_planes(np.diff(u[s], prepend=np.uint64(0))) for s in some], pa.binary()),
-                        pa.array([_planes(n[s]) for s in some], pa.binary()),
-                        pa.array([_planes(k[s]) for s in some], pa.binary()),
-                    ],
-                    names=["bucket", "chunk", "words", "counts", "kinds"],
-                )
-
-    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "chunk", "answer"]
-        for bucket, parts in _groups(frames, "bucket"):
-            sent, words, counts, kinds = [], [], [], []
-            for b in parts:
-                for chunk, w, n, k in zip(*(b.column(c).to_pylist() for c in ("chunk", "words", "counts", "kinds"))):
-                    words.append(np.cumsum(_unplanes(w, np.uint64), dtype=np.uint64))
-                    counts.append(_unplanes(n, np.uint32))
-                    kinds.append(_unplanes(k, np.uint16))
-                    sent.append((chunk, len(words[-1])))
-            u, first, at = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype(np.uint64)
-            every = total[at]
-            end = np.cumsum([n for _, n in sent])
-            for i in range(0, len(sent), 256):
-                some = range(i, min(len(sent), i + 256))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(some), pa.int32()), pa.array([sent[x][0] for x in some], pa.int32()), pa.array([_planes(every[end[x] - sent[x][1] : end[x]]) for x in some], pa.binary())], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([-1], pa.int32()), pa.array([_summary(u, total, np.concatenate(kinds)[first])], pa.binary())], names=names)
-
-    messages = docs.select("chunk", "text", "learn").repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(send, "bucket int, chunk int, words binary, counts binary, kinds binary")
-    return messages.repartition(chunks, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "bucket int, chunk int, answer binary")
-
-
-#: A bucket's statistics: tokens, words, words counted once and twice, words of each class; then its top words.
-_TOP = np.dtype([("n", "<u8"), ("word", "<u8"), ("kind", "<u8")])
-
-
-def _summary(u: np.ndarray, total: np.ndarray, kind: np.ndarray) -> bytes:
-    seen = total > 0
-    u, total, kind = u[seen], total[seen], kind[seen]
-    sums = np.concatenate(([total.sum(), len(u), (total == 1).sum(), (total == 2).sum()], np.bincount(kind, minlength=CLASSES))).astype("<u8")
-    order = np.lexsort((u, -total.astype(np.int64)))[:FREQUENT]
-    top = np.empty(len(order), dtype=_TOP)
-    top["n"], top["word"], top["kind"] = total[order], u[order], kind[order]
-    return sums.tobytes() + top.tobytes()
-
-
-def _merged(parts: list[bytes]) -> bytes:
-    size = 8 * (4 + CLASSES)
-    sums = sum(np.frombuffer(p[:size], dtype="<u8") for p in parts)
-    top = np.concatenate([np.frombuffer(p[size:], dtype=_TOP) for p in parts])
-    return sums.tobytes() + top[np.lexsort((top["word"], -top["n"].astype(np.int64)))[:FREQUENT]].tobytes()
-
-
-def merge_summaries(answers: DataFrame) -> bytes | None:
-    """The statistics of all buckets: first sixteen parts, then the driver adds these up."""
-
-    def each(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
-        for b in frames:
-            parts = b.column("answer").to_pylist()
-            if parts:
-                now = _merged(([now] if now else []) + parts)
-        if now:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.binary())], names=["answer"])
-
-    some = answers.filter("chunk = -1").withColumn("part", F.col("bucket") % 16).repartition(16, "part").select("answer").mapInArrow(each, "answer binary").collect()
-    return _merged([bytes(r["answer"]) for r in some]) if some else None
-
-
-def count_pairs(docs: DataFrame, frequent: np.ndarray) -> np.ndarray:
-    """docs(text) -> counts of symbol (column) after symbol (row)."""
-    size = len(frequent) + CLASSES
-    rows = 64  # of symbols that are added up together
-
-    def own(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, dtype=np.int64)
-        wait: list[np.ndarray] = []
-        held = 0
-        end = int(np.searchsorted(frequent, np.uint64(END)))
+def packed(x: np.ndarray) -> bytes:
+    """Bytes of integers, those of equal weight together, so that the many zeros compress well."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpacked(b: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(memoryview(b)[8:], n, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def rising(x: np.ndarray) -> bytes:
+    """Integers in rising order, by their steps."""
+    return packed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def risen(b: bytes, kind=np.int64) -> np.ndarray:
+    return np.cumsum(unpacked(b, kind), dtype=kind)
+
+
+def _records(rows: Iterable[Row]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    wait: list[Row] = []
+    size = 0
+    for r in rows:
+        wait.append(r)
+        size += sum(len(x) for x in r[4:] if x)
+        if size > 1 << 24 or len(wait) >= 64:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*wait), kinds)], names=_NAMES)
+            wait, size = [], 0
+    if wait:
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*wait), kinds)], names=_NAMES)
+
+
+def _groups(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each dest: (kind, src, a, b, c, d)."""
+    now, rows = None, []
+    for b in frames:
+        for _, dest, *r in zip(*(c.to_pylist() for c in b.columns)):
+            if dest != now:
+                if rows:
+                    yield now, rows
+                now, rows = dest, []
+            rows.append(r)
+    if rows:
+        yield now, rows
+
+
+def _step(sent: DataFrame, parts: int | None, work: Callable[[int, list[tuple]], Iterable[Row]]) -> DataFrame:
+    """Each dest's rows through work."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _records(r for dest, rows in _groups(frames) for r in work(dest, rows))
+
+    dealt = sent.repartition(parts, "deal") if parts else sent.repartition("deal")
+    return dealt.sortWithinPartitions("dest", "kind", "src").mapInArrow(run, _SCHEMA)
+
+
+def _keys(spark: SparkSession, n: int) -> list[int]:
+    """A key for each of n partitions that Spark deals to just that one, so that none has two dests and another none."""
+    found: dict[int, int] = {}
+    size = 8 * n
+    while len(found) < n:
+        size *= 2
+        part = F.pmod(F.hash("id"), F.lit(n))
+        found = {r["p"]: r["k"] for r in spark.range(size).groupBy(part.alias("p")).agg(F.min("id").alias("k")).collect()}
+    return [found[j] for j in range(n)]
+
+
+def _cuts(owner: np.ndarray, n: int) -> list[tuple[int, slice]]:
+    """Of sorted owners, the slice of each that occurs."""
+    at = np.searchsorted(owner, np.arange(n + 1))
+    return [(j, slice(at[j], at[j + 1])) for j in range(n) if at[j] < at[j + 1]]
+
+
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    """Whose a hash is; rises with the hash."""
+    return (((h >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)).astype(np.int64)
+
+
+def read_chunks(docs: DataFrame, keys: list[int], chunk_bytes: int) -> DataFrame:
+    """docs(doc_id, text, learn) -> the chunks, as places in their own sorted words, and their words to the buckets."""
+    n = len(keys)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        wait: list[tuple[int | None, bool, bytes]] = []
+        size = 0
+
+        def chunk() -> Iterator[Row]:
+            texts = [t for *_, t in wait]
+            parts = [tokens(texts[i:j]) for i, j in batches(texts)]
+            length = np.concatenate([np.diff(begin) for _, begin in parts])
+            u, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+            learn = np.array([x for _, x, _ in wait])
+            count = np.bincount(at, weights=np.repeat(learn, length), minlength=len(u)).astype(np.int64)
+            ids = np.array([i or 0 for i, *_ in wait], dtype=np.int64)
+            flags = learn.astype(np.int8) + 2 * np.array([i is None for i, *_ in wait], dtype=np.int8)
+            yield number, number, _CHUNK, 0, packed(ids), packed(flags), packed(length.astype(np.int64)), packed(at.astype(np.int32))
+            for j, s in _cuts(_bucket(u, n), n):
+                yield keys[j], j, _WORDS, number, rising(u[s]), packed(count[s]), None, None
+
         for b in frames:
-            texts = [lower(t) for t in b.column("text").to_pylist()]
-            for i, j in batches(texts):
-                h, kind, begin = tokens(texts[i:j])
-                s = symbols(h, kind, frequent)
-                before = np.concatenate(([end], s[:-1]))
-                before[begin[:-1]] = end
-                wait.append(before.astype(np.int64) * size + s)
-                held += len(s)
-                if held > 1 << 22:
-                    total += np.bincount(np.concatenate(wait), minlength=size * size)
-                    wait, held = [], 0
+            for i, learn, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "learn", "text"))):
+                wait.append((i, learn, lower(text)))
+                size += len(wait[-1][2])
+                if size >= chunk_bytes:
+                    yield from _records(chunk())
+                    number += 1
+                    wait, size = [], 0
         if wait:
-            total += np.bincount(np.concatenate(wait), minlength=size * size)
-        full = np.flatnonzero(total)
-        cut = np.searchsorted(full, np.arange(0, size * size + rows * size, rows * size))
-        parts = [full[a:b] for a, b in zip(cut, cut[1:])]
-        some = [k for k, p in enumerate(parts) if len(p)]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_planes(np.diff(parts[k], prepend=0).astype(np.uint32)) for k in some], pa.binary()), pa.array([_planes(total[parts[k]].astype(np.uint64)) for k in some], pa.binary())], names=["block", "cells", "counts"])
-
-    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in frames:
-            for k, cells, counts in zip(*(c.to_pylist() for c in b.columns)):
-                t = total.setdefault(k, np.zeros(rows * size, dtype=np.uint64))
-                t[np.cumsum(_unplanes(cells, np.uint32), dtype=np.int64) - k * rows * size] += _unplanes(counts, np.uint64)
-        for k, t in total.items():
-            full = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_planes(np.diff(full + k * rows * size, prepend=0).astype(np.uint32))], pa.binary()), pa.array([_planes(t[full])], pa.binary())], names=["block", "cells", "counts"])
+            yield from _records(chunk())
+
+    return docs.select("doc_id", "learn", "text").mapInArrow(run, _SCHEMA)
+
+
+def number_words(bucket: int, rows: list[tuple]) -> Iterator[Row]:
+    """Of a bucket: to each chunk the places of its words in the bucket and their counts, and a summary."""
+    words = [risen(a, np.uint64) for _, _, a, *_ in rows]
+    counts = [unpacked(b, np.int64) for _, _, _, b, *_ in rows]
+    u, at = np.unique(np.concatenate(words), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+    end = 0
+    for (_, chunk, *_), w in zip(rows, words):
+        own = at[end : end + len(w)]
+        end += len(w)
+        yield chunk, chunk, _ANSWER, bucket, rising(own.astype(np.int64)), packed(total[own]), None, None
+    yield 0, -1, _SUMMARY, bucket, packed(np.array([len(u), (total > 0).sum(), total.sum()], dtype=np.int64)), None, None, None
+
+
+class _Chunk:
+    """A chunk's tokens, with the numbers of its words and their counts."""
+
+    def __init__(self, rows: list[tuple], offsets: np.ndarray):
+        own = next(r for r in rows if r[0] == _CHUNK)
+        ids, flags = unpacked(own[2], np.int64), unpacked(own[3], np.int8)
+        self.learn, self.doc_id = (flags & 1).astype(bool), pa.array(ids, mask=(flags & 2).astype(bool))
+        self.length, self.token = unpacked(own[4], np.int64), unpacked(own[5], np.int32).astype(np.int64)
+        answers = [r for r in rows if r[0] == _ANSWER]
+        self.place = [(r[1], risen(r[2])) for r in answers]
+        self.word = np.concatenate([offsets[j] + p for j, p in self.place])
+        self.count = np.concatenate([unpacked(r[3], np.int64) for r in answers])
+        self.begin = np.cumsum(self.length) - self.length
+        end = self.token[-1]  # each text's last token is its end
+        self.before = np.concatenate(([end], self.token[:-1]))
+        self.before[self.begin] = end
+
+    def pairs(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, context, word and learnt occurrences of each pair, sorted by these, and which pair each token is."""
+        n = len(self.word)
+        pair, at = np.unique(self.before * n + self.token, return_inverse=True)
+        u, w = self.word[pair // n], self.word[pair % n]
+        seen = np.bincount(at, weights=np.repeat(self.learn, self.length), minlength=len(pair)).astype(np.int64)
+        owner = (mix(u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((w, u, owner))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        return owner[order], u[order], w[order], seen[order], rank[at]
+
+
+def stirling(d: float, n: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: row c, column t, for c and t from 0 to n."""
+    s = np.zeros((n + 1, n + 1))
+    s[0, 0] = 1
+    t = np.arange(n + 1)
+    for c in range(n):
+        s[c + 1, 1:] = s[c, :-1] + (c - d * t[1:]) * s[c, 1:] * (t[1:] <= c)
+    with np.errstate(divide="ignore"):
+        return np.log(s)
+
 
-    schema = "block int, cells binary, counts binary"
-    total = np.zeros(size * size, dtype=np.int64)
-    for r in docs.select("text").mapInArrow(own, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
-        total[np.cumsum(_unplanes(bytes(r["cells"]), np.uint32), dtype=np.int64)] += _unplanes(bytes(r["counts"]), np.uint64).astype(np.int64)
-    return total.reshape(size, size)
+def draw_tables(c: np.ndarray, a: np.ndarray, d: float, draw: np.random.Generator, more: Callable | None = None) -> np.ndarray:
+    """Tables of c customers, drawn with weights S(c, t) * a^t.
 
+    Up to EXACT customers these weights themselves are used. With more, each further customer multiplies the weights'
+    generating function by what tends to a flow in log c, whose solution is: the tables that EXACT customers would have
+    under a * r, and a Poisson number with mean a / d * (1 - r), where r = (c / EXACT)^-d.
 
-def symbols(h: np.ndarray, kind: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The symbol of each word: its place among the frequent ones, which are sorted by hash, or its class after these."""
-    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-    return np.where(frequent[at] == h, at, len(frequent) + kind).astype(np.int32)
+    more(cells, j): where a grows with the tables, its factor for the j-th further table of these cells, in the place of
+    a alone; used for the first EXACT tables.
+    """
+    t = np.ones(len(c), dtype=np.int64)
+    logs = stirling(d)
+    few = np.minimum(c, EXACT)
+    r = (np.maximum(c, EXACT) / EXACT) ** -d
+    for k in range(2, EXACT + 1):
+        at = np.flatnonzero(few == k)
+        for i in range(0, len(at), 1 << 16):
+            own = at[i : i + (1 << 16)]
+            each = np.maximum(a[own, None] * np.ones(k) if more is None else more(own, np.arange(k)), 1e-300)
+            w = logs[k, 1 : k + 1] + np.cumsum(np.log(each) + np.log(r[own])[:, None], axis=1)
+            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            t[own] = 1 + (w < (draw.random(len(own)) * w[:, -1])[:, None]).sum(axis=1)
+    many = c > EXACT
+    t[many] += draw.poisson(a[many] / d * (1 - r[many]))
+    return np.minimum(t, c)
 
 
 def discount(once: float, twice: float) -> float:
@@ -251,172 +264,212 @@ def discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
 
 
-class Seating:
-    """Tables of every dish of every context. Tables are in one array, those of a cell (context and dish) together."""
-
-    def __init__(self, counts: np.ndarray, seed: int = 3):
-        self.draw = np.random.default_rng(seed)
-        self.size = counts.shape[0]
-        cells = np.flatnonzero(counts)
-        self.context, self.dish = np.divmod(cells, self.size)
-        self.n = counts.ravel()[cells]
-        self.d = discount((self.n == 1).sum(), (self.n == 2).sum())
-        self.context_n = np.bincount(self.context, weights=self.n, minlength=self.size)
-        # To begin with: as many tables as a power law has, of almost equal size.
-        t = np.clip(np.floor(self.n ** (self.d / 2)), 1, 64).astype(np.int64)
-        self.cell = np.repeat(np.arange(len(cells)), t)
-        nth = np.arange(len(self.cell)) - np.repeat(np.cumsum(t) - t, t)
-        self.at = self.n[self.cell] // t[self.cell] + (nth < (self.n % t)[self.cell])
-        self._root()
-
-    def _root(self) -> None:
-        """Tables of cells, contexts and dishes, and the dishes' probabilities in the root, seated anew."""
-        self.t = np.bincount(self.cell, minlength=len(self.n))
-        self.context_t = np.bincount(self.context, weights=self.t, minlength=self.size)
-        m = np.bincount(self.dish, weights=self.t, minlength=self.size)
-        d = discount((m == 1).sum(), (m == 2).sum())
-        base = 1 / self.size
-        # A dish's first customer opens a table; others do so with a chance that the base's share keeps small.
-        t = (m > 0).astype(np.float64)
-        more = (STRENGTH + d * t.sum()) * base
-        t += np.minimum(self.draw.poisson(more * np.log(np.maximum(m, 1))), np.maximum(m - 1, 0))
-        self.root = (np.maximum(m - d * t, 0) + (STRENGTH + d * t.sum()) * base) / (STRENGTH + m.sum())
-        self.root /= self.root.sum()
-
-    def step(self) -> None:
-        """A random customer of each cell leaves and is seated again."""
-        draw, cell = self.draw, self.cell
-        start = np.concatenate(([0], np.cumsum(self.at)))
-        table = np.searchsorted(start, start[np.concatenate(([0], np.cumsum(self.t)[:-1]))] + (draw.random(len(self.n)) * self.n).astype(np.int64), side="right") - 1
-        self.at[table] -= 1
-        gone = self.at[table] == 0
-        t = self.t - gone
-        context_t = self.context_t - np.bincount(self.context, weights=gone, minlength=self.size)
-        fresh = (STRENGTH + self.d * context_t[self.context]) * self.root[self.dish]
-        stay = np.maximum(self.n - 1 - self.d * t, 0)
-        opens = draw.random(len(self.n)) * (fresh + stay) < fresh
-        opens |= t == 0
-        weight = np.concatenate(([0.0], np.cumsum(np.maximum(self.at - self.d, 0) * (self.at > 0))))
-        edge = np.concatenate(([0], np.cumsum(self.t)))
-        low, high = weight[edge[:-1]], weight[edge[1:]]
-        pick = np.searchsorted(weight, low + draw.random(len(self.n)) * (high - low), side="right") - 1
-        pick = np.clip(pick, edge[:-1], edge[1:] - 1)
-        pick = np.where(self.at[pick] > 0, pick, table)  # rounding may point at an empty table
-        np.add.at(self.at, pick[~opens], 1)
-        new = np.flatnonzero(opens)
-        keep = self.at > 0
-        cell, at = np.concatenate((cell[keep], new)), np.concatenate((self.at[keep], np.ones(len(new), dtype=np.int64)))
-        order = np.argsort(cell, kind="stable")
-        self.cell, self.at = cell[order], at[order]
-        self._root()
-
-    def predictive(self) -> np.ndarray:
-        """Probabilities of each dish (column) in each context (row)."""
-        share = (STRENGTH + self.d * self.context_t) / (STRENGTH + self.context_n)
-        p = share[:, None] * self.root[None, :]
-        p[self.context, self.dish] += (self.n - self.d * self.t) / (STRENGTH + self.context_n[self.context])
-        return p
-
-
-def sample(counts: np.ndarray) -> np.ndarray:
-    """Averaged predictive probabilities of the symbols in each context."""
-    seating = Seating(counts)
-    total = np.zeros(counts.shape)
-    for k in range(BURN_IN + SAMPLES * STEPS):
-        seating.step()
-        if k >= BURN_IN and (k - BURN_IN) % STEPS == STEPS - 1:
-            total += seating.predictive()
-    return total / SAMPLES
-
-
-def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def parent(customers: np.ndarray, tables: np.ndarray, root: dict) -> np.ndarray:
+    """Probabilities of dishes in the root, of which root has the totals."""
+    return (customers - root["d"] * tables + root["new"]) / (STRENGTH + root["customers"])
+
+
+def _sums(u: np.ndarray, w: np.ndarray, t: np.ndarray, offsets: np.ndarray, keys: list[int], shard: int) -> Iterator[Row]:
+    """Tables by context and by dish, to the buckets of these words."""
+    parts: dict[int, list] = {}
+    for role, x in enumerate((u, w)):
+        ids, at = np.unique(x, return_inverse=True)
+        n = np.bincount(at, weights=t, minlength=len(ids)).astype(np.int64)
+        for j, s in _cuts(np.searchsorted(offsets, ids, side="right") - 1, len(keys)):
+            parts.setdefault(j, [np.zeros(0, np.int64)] * 4)[2 * role : 2 * role + 2] = ids[s] - offsets[j], n[s]
+    for j, (iu, nu, iw, nw) in parts.items():
+        yield keys[j], j, _SUMS, shard, rising(iu), packed(nu), rising(iw), packed(nw)
+
+
+def _unique_pairs(us: list[np.ndarray], ws: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and which of them each pair is."""
+    names, a = np.unique(np.concatenate(us), return_inverse=True)
+    dishes, b = np.unique(np.concatenate(ws), return_inverse=True)
+    pair, at = np.unique(a * len(dishes) + b, return_inverse=True)
+    return names[pair // max(1, len(dishes))], dishes[pair % max(1, len(dishes))], at
+
+
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts count as empty: the end alone. Rows with a null id are learnt from. Without a learnt text all words are
-    unseen. Other columns are ignored; an empty table gives an empty result.
+    the unknown one, and each score is 0. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark, 512)
+    small_batches(spark, 64)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = _keys(spark, n)
     held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
-    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    dealt = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (~held).alias("learn"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
-    )
-    answers = materialise(count_words(dealt, chunks), "word-counts")
-    told = merge_summaries(answers)
-    if told is None:
-        none = dealt.select("doc_id", (~F.col("learn")).alias("held_out"))
-        return none.select("*", *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).limit(0)
-    sums = np.frombuffer(told[: 8 * (4 + CLASSES)], dtype="<u8").astype(np.int64)
-    top = np.frombuffer(told[8 * (4 + CLASSES) :], dtype=_TOP)
-    n_all, n_words = int(sums[0]), int(sums[1])
-    frequent = np.unique(np.append(top["word"].astype(np.uint64), np.uint64(END)))
-    pairs = count_pairs(dealt.filter("learn"), frequent)
-    # The classes' restaurants: customers from the pairs, dishes but for the frequent words from the buckets.
-    class_n = pairs.sum(axis=0)[len(frequent) :]
-    class_t = sums[4:] - np.bincount(top["kind"].astype(np.int64), minlength=CLASSES)
-    d = discount(float(sums[2]), float(sums[3]))
-    with np.errstate(divide="ignore"):
-        model = np.log10(sample(pairs)).astype(np.float32)
-    unseen = np.log10((STRENGTH + d * class_t) / (STRENGTH + class_n))
-    context = spark.sparkContext.broadcast((frequent, model, class_n, unseen))  # (FREQUENT + CLASSES)^2 floats, 9 MB
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held).alias("learn"))
+    read = materialise(read_chunks(given, keys, chunk_bytes), "lm-chunks")
+    answers = materialise(_step(read.filter(F.col("kind") == _WORDS), n, number_words), "lm-words")
+    told = {r["src"]: unpacked(bytes(r["a"]), np.int64) for r in answers.filter(F.col("kind") == _SUMMARY).select("src", "a").collect()}
+    sizes = np.array([told[j][0] if j in told else 0 for j in range(n)])
+    offsets = np.cumsum(sizes) - sizes
+    n_words, n_all = (int(sum(x[k] for x in told.values())) for k in (1, 2))
+    chunks = read.filter(F.col("kind") == _CHUNK).unionByName(answers.filter(F.col("kind") == _ANSWER))
+
+    def send_pairs(chunk: int, rows: list[tuple]) -> Iterator[Row]:
+        owner, u, w, seen, _ = _Chunk(rows, offsets).pairs(n)
+        for j, s in _cuts(owner, n):
+            yield keys[j], j, _PAIRS, chunk, rising(u[s]), packed(w[s]), packed(seen[s]), None
+
+    asked = materialise(_step(chunks, None, send_pairs), "lm-pairs")
+
+    def seat(shard: int, rows: list[tuple]) -> Iterator[Row]:
+        u, w, at = _unique_pairs([risen(r[2]) for r in rows], [unpacked(r[3], np.int64) for r in rows])
+        c = np.bincount(at, weights=np.concatenate([unpacked(r[4], np.int64) for r in rows]), minlength=len(u)).astype(np.int64)
+        one, more = c == 1, c > 1
+        yield keys[shard], shard, _SINGLE, shard, rising(u[one]), packed(w[one]), None, None
+        t = np.ones(int(more.sum()), dtype=np.int64)
+        yield keys[shard], shard, _ACTIVE, shard, rising(u[more]), packed(w[more]), packed(c[more]), packed(np.concatenate((t, 0 * t)))
+        yield 0, -1, _SUMMARY, shard, packed(np.array([one.sum(), (c == 2).sum()], dtype=np.int64)), None, None, None
+        for r in _sums(u[one], w[one], np.ones(int(one.sum())), offsets, keys, -1 - shard):
+            yield r
+        yield from _sums(u[more], w[more], t, offsets, keys, shard)
+
+    cells = materialise(_step(asked, n, seat), "lm-cells")
+    often = sum((unpacked(bytes(r["a"]), np.int64) for r in cells.filter(F.col("kind") == _SUMMARY).select("a").collect()), np.zeros(2, np.int64))
+    d = discount(*often)
+    root = {"d": 0.5, "tables": n_words}
+    state = cells.filter((F.col("kind") == _ACTIVE) | ((F.col("kind") == _SUMS) & (F.col("src") >= 0)))
+    singles = cells.filter((F.col("kind") == _SUMS) & (F.col("src") < 0))
+    sampled: list[tuple[DataFrame, dict]] = []
+    for k in range(burn_in + samples):
+        state, root, kept = _sweep(state, singles, root, d, sizes, offsets, keys, n_words, k, k >= burn_in, k + 1 == burn_in + samples)
+        if kept is not None:
+            sampled.append((kept, root))
+
+    def found(shard: int, rows: list[tuple]) -> Iterator[Row]:
+        """Of each pair that a chunk asked for: its customers, less what the discount takes off."""
+        us, ws, less = [], [], []
+        for kind, _, a, b, c, t in rows:
+            if kind in (_SINGLE, _ACTIVE):
+                us.append(risen(a))
+                ws.append(unpacked(b, np.int64))
+                less.append(np.ones(len(us[-1])) - d if kind == _SINGLE else unpacked(c, np.int64) - d * unpacked(t, np.int64)[len(us[-1]) :] / samples)
+        n_cells = sum(map(len, us))
+        asks = [r for r in rows if r[0] == _PAIRS]
+        pairs = [risen(r[2]) for r in asks]
+        _, _, at = _unique_pairs(us + pairs, ws + [unpacked(r[3], np.int64) for r in asks])
+        value = np.zeros(int(at.max()) + 1 if len(at) else 0, dtype=np.float32)
+        value[at[:n_cells]] = np.concatenate(less) if less else 0
+        end = n_cells
+        for r, p in zip(asks, pairs):
+            yield r[1], r[1], _FOUND, shard, packed(value[at[end : end + len(p)]]), None, None, None
+            end += len(p)
+
+    last = cells.filter(F.col("kind") == _SINGLE).unionByName(state.filter(F.col("kind") == _ACTIVE)).unionByName(asked)
+    replies = _step(last, n, found)
+
+    def tell(bucket: int, rows: list[tuple]) -> Iterator[Row]:
+        """To each chunk, of its words and each seating: tables, and customers and tables in the root."""
+        seats = [np.array([unpacked(x, np.int64) for x in r[2:5]]) for r in rows if r[0] == _SAMPLE]
+        seats = seats or [np.zeros((3, sizes[bucket]), dtype=np.int64)] * samples  # none of its words was learnt
+        for kind, chunk, a, *_ in rows:
+            if kind == _ANSWER:
+                own = risen(a)
+                yield chunk, chunk, _TOLD, bucket, packed(np.concatenate([s[:, own].ravel() for s in seats])), None, None, None
+
+    deal = F.element_at(F.array(*[F.lit(x) for x in keys]), (F.col("src") + 1).cast("int"))
+    wanted = answers.filter(F.col("kind") == _ANSWER).select(deal.alias("deal"), F.col("src").alias("dest"), "kind", F.col("dest").alias("src"), "a", "b", "c", "d")
+    for kept, _ in sampled:
+        wanted = wanted.unionByName(kept)
+    replies = replies.unionByName(_step(wanted, n, tell))
+    roots = [r for _, r in sampled]
 
     def scored(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, model, class_n, unseen = context.value
-        size, n_frequent = model.shape[0], len(frequent)
-        end = int(np.searchsorted(frequent, np.uint64(END)))
-        flat = model.ravel()
-        for _, parts in _groups(frames, "chunk"):
-            totals, ids, learn, h, kind, length = [], [], [], [], [], []
-            for b in parts:
-                first = int(np.argmax(np.append(b.column("bucket").to_numpy(zero_copy_only=False) == 1 << 30, True)))
-                totals += [_unplanes(x, np.uint64) for x in b.column("answer").slice(0, first).to_pylist()]
-                b = b.slice(first)
-                texts = [lower(t) for t in b.column("text").to_pylist()]
-                for i, j in batches(texts):
-                    x, k, begin = tokens(texts[i:j])
-                    h.append(x)
-                    kind.append(k)
-                    length.append(np.diff(begin))
-                ids.append(b.column("doc_id"))
-                learn.append(b.column("learn"))
-            u, first, at = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
-            c = np.concatenate(totals).astype(np.float64)
-            if len(c) != len(u):
-                raise ValueError(f"{len(c)} totals for {len(u)} words")
-            word_kind = np.concatenate(kind)[first]
-            s = symbols(u, word_kind, frequent)
-            k = np.maximum(s - n_frequent, 0)
-            within = np.where(c > 0, np.log10(np.maximum(c - d, 1e-9) / (STRENGTH + class_n[k])), unseen[k])
-            word = np.where(s >= n_frequent, within, 0.0)
-            base = np.log10((c + 1) / (n_all + n_words + 1))
-            length = np.concatenate(length)
-            begin = np.cumsum(length) - length
-            token = s[at]
-            before = np.concatenate(([end], token[:-1]))
-            before[begin] = end
-            p = flat[before.astype(np.int64) * size + token] + word[at]
-            n = len(length)
+        for _, rows in _groups(frames):
+            chunk = _Chunk(rows, offsets)
+            *_, at = chunk.pairs(n)
+            seats = np.concatenate([unpacked(r[2], np.int64).reshape(3 * len(roots), -1) for r in rows if r[0] == _TOLD], axis=1)
+            context = STRENGTH + chunk.count[chunk.before]
+            p = np.zeros(len(chunk.token))
+            for k, r in enumerate(roots):
+                opens, customers, tables = seats[3 * k : 3 * k + 3]
+                p += (STRENGTH + d * opens)[chunk.before] * parent(customers, tables, r)[chunk.token]
+            p = (np.concatenate([unpacked(r[2], np.float32) for r in rows if r[0] == _FOUND])[at] + p / len(roots)) / context
+            base = np.log10((chunk.count + 1) / (n_all + n_words + 1))
+            add = lambda x: pa.array(np.add.reduceat(x, chunk.begin))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays(ids),
-                    pa.array(~pa.concat_arrays(learn).to_numpy(zero_copy_only=False).astype(bool)),
-                    pa.array(length.astype(np.int64)),
-                    pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), begin)),
-                    pa.array(np.full(n, n_all, dtype=np.int64)),
-                    pa.array(np.add.reduceat(base[at], begin)),
-                    pa.array(np.add.reduceat(p.astype(np.float64), begin)),
-                ],
+                [chunk.doc_id, pa.array(~chunk.learn), pa.array(chunk.length), add((chunk.count > 0)[chunk.token].astype(np.int64)), pa.array(np.full(len(chunk.length), n_all, dtype=np.int64)), add(base[chunk.token]), add(np.log10(p))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    texts = dealt.select("chunk", F.lit(1 << 30).alias("bucket"), "doc_id", "text", "learn", F.lit(None).cast("binary").alias("answer"))
-    replies = answers.filter("chunk >= 0").select("chunk", "bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("learn"), "answer")
-    together = replies.unionByName(texts).repartition(chunks, "chunk").sortWithinPartitions("chunk", "bucket")
+    together = chunks.unionByName(replies).repartition("deal").sortWithinPartitions("dest", "kind", "src")
     return together.mapInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
+def _sweep(state: DataFrame, singles: DataFrame, root: dict, d: float, sizes: np.ndarray, offsets: np.ndarray, keys: list[int], n_words: int, k: int, sample: bool, last: bool) -> tuple[DataFrame, dict, DataFrame | None]:
+    """One Gibbs sweep: the root's tables, then, but for the last time, those of all other restaurants.
+
+    Gives the new seating, the root's totals, and, for a sample, what the buckets know of each word in the old seating.
+    """
+    n, was = len(keys), dict(root)
+
+    def root_tables(bucket: int, rows: list[tuple]) -> Iterator[Row]:
+        opens, customers = np.zeros(sizes[bucket], dtype=np.int64), np.zeros(sizes[bucket], dtype=np.int64)
+        for _, _, *x in rows:
+            iu, nu, iw, nw = risen(x[0]), unpacked(x[1], np.int64), risen(x[2]), unpacked(x[3], np.int64)
+            opens[iu] += nu
+            customers[iw] += nw
+        tables = np.zeros(len(opens), dtype=np.int64)
+        some = customers > 0
+        a = np.full(int(some.sum()), (STRENGTH + was["d"] * max(0, was["tables"] - 1)) / (n_words + 1))
+        tables[some] = draw_tables(customers[some], a, was["d"], np.random.default_rng([k, bucket, 1]))
+        yield 0, -1, _SUMMARY, bucket, packed(np.array([customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum()], dtype=np.int64)), None, None, None
+        if sample:
+            yield keys[bucket], bucket, _SAMPLE, k, packed(opens), packed(customers), packed(tables), None
+        for _, shard, *x in rows:
+            if shard >= 0 and not last:
+                iu, iw = risen(x[0]), risen(x[2])
+                yield keys[shard], shard, _TABLES, bucket, rising(iu), packed(opens[iu]), rising(iw), packed(np.concatenate((customers[iw], tables[iw])))
+
+    sums = state.filter(F.col("kind") == _SUMS).unionByName(singles)
+    told = materialise(_step(sums, n, root_tables), "lm-root")
+    total = sum((unpacked(bytes(r["a"]), np.int64) for r in told.filter(F.col("kind") == _SUMMARY).select("a").collect()), np.zeros(4, np.int64))
+    # This seating's probabilities go with the discount that it was drawn with; the next one's follows from it.
+    now = {"d": was["d"], "tables": int(total[1]), "customers": int(total[0])}
+    now["new"] = (STRENGTH + now["d"] * now["tables"]) / (n_words + 1)
+    following = now | {"d": discount(float(total[2]), float(total[3]))} if not sample else now
+    kept = told.filter(F.col("kind") == _SAMPLE) if sample else None
+
+    def reseat(shard: int, rows: list[tuple]) -> Iterator[Row]:
+        cells = next((r for r in rows if r[0] == _ACTIVE), None)
+        if cells is None:
+            return
+        u, w, c = risen(cells[2]), unpacked(cells[3], np.int64), unpacked(cells[4], np.int64)
+        t, total_t = np.split(unpacked(cells[5], np.int64), 2)
+        if sample:
+            total_t = total_t + t
+        if not last and len(c):
+            asks = [r for r in rows if r[0] == _TABLES]
+            names = np.concatenate([offsets[r[1]] + risen(r[2]) for r in asks])
+            opens = np.concatenate([unpacked(r[3], np.int64) for r in asks])[np.searchsorted(names, u)]
+            dishes = np.concatenate([offsets[r[1]] + risen(r[4]) for r in asks])
+            both = np.concatenate([unpacked(r[5], np.int64).reshape(2, -1) for r in asks], axis=1)[:, np.searchsorted(dishes, w)]
+            others, own = both[0] - t, opens - t  # customers of the dish in the root and tables here, but for this cell's
+            rest = STRENGTH + now["customers"] - t
+            high = np.maximum(others - now["d"] * np.minimum(both[1], others), 0) + now["new"]
+
+            def more(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                """Each further table counts here and, as a customer, in the root."""
+                return (STRENGTH + d * (own[i, None] + j)) * (high[i, None] + np.maximum(j - now["d"] * (others[i, None] == 0), 0)) / (rest[i, None] + j)
+
+            a = (STRENGTH + d * (own + t / 2)) * (high + t / 2) / (rest + t / 2)
+            t = draw_tables(c, a, d, np.random.default_rng([k, shard, 2]), more)
+        yield keys[shard], shard, _ACTIVE, shard, cells[2], cells[3], cells[4], packed(np.concatenate((t, total_t)))
+        if not last:
+            yield from _sums(u, w, t, offsets, keys, shard)
+
+    new = materialise(_step(state.filter(F.col("kind") == _ACTIVE).unionByName(told.filter(F.col("kind") == _TABLES)), n, reseat), "lm-seating")
+    if k:
+        discard(state)
+    if not sample:
+        discard(told)
+    return new, following, kept
+
+
 def perplexity(scored: DataFrame) -> DataFrame:
     """scored by score() -> held_out, tokens, perplexity."""
     return scored.groupBy("held_out").agg(F.sum("n_tokens").alias("tokens"), F.pow(F.lit(10.0), -F.sum("score") / F.sum("n_tokens")).alias("perplexity"))
