@@ -53,6 +53,7 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     out, h = [], np.zeros(len(c), dtype=np.uint32)
     for n in range(1, MAX_N + 1):
         h = c.copy() if n == 1 else np.concatenate((h[:1], c[1:] + h[:-1] * np.uint32(0x9E3779B1)))
+        h[begin[:-1]] = 0  # the gap that a text begins with: nothing of the text before
         x = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
         out.append((x >> np.uint32(32 - BITS)).astype(np.int32) + ((n - 1) << BITS))
