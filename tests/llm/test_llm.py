@@ -77,7 +77,12 @@ def test_mixing(spark, odd, empty):
     assert abs(k[2] - 2000 * (math.exp(-2.25) * 2.25**2 / 2) - 2000 * math.exp(-0.75) * 0.75**2 / 2) < 120
     assert sorted(map(tuple, poisson_mix(d).collect())) == sorted(map(tuple, poisson_mix(d.repartition(7)).collect()))
     assert poisson_mix(empty).count() == 0 and rates(empty).count() == 0
-    assert "copy" in poisson_mix(odd).columns and poisson_mix(odd).count() >= 0
+    n = Counter(r.doc_id for r in poisson_mix(odd).collect())
+    mean = {r.source: r.rate for r in rates(odd).collect()}
+    assert set(n) <= {i for i, _ in ODD} and sum(n.values()) < 6 * sum(mean[f"s{(i or 0) % 3}"] for i, _ in ODD) + 20
+    numbered, plain = poisson_mix(odd), poisson_mix(odd, numbered=False)
+    assert numbered.columns[-2:] == ["copy", "shuffle_key"] and plain.columns == odd.columns
+    assert {(r.copy, r.shuffle_key) for r in plain.collect()} == {(7, 7)} and plain.count() == numbered.count()
 
 
 def test_mixing_of_a_tiny_source_beside_a_huge_one(spark):
@@ -132,6 +137,41 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
         assert Counter((x.doc_id, x.text) for x in drop_near_duplicates(docs(spark, rows).repartition(parts)).collect()) == want
 
 
+def test_simhash_components_against_all_pairs(spark):
+    from strandwise.llm.simhash import simhash_components
+
+    r = random.Random(15)
+    words = [f"w{k}" for k in range(4000)]
+    xs, i = [], 0
+    for _ in range(40):
+        t = [r.choice(words) for _ in range(r.choice([30, 200, 500]))]
+        for _ in range(r.randint(1, 6)):
+            xs.append((i * 7 % 1009, " ".join(t)))
+            t = list(t)
+            t[r.randrange(len(t))] = r.choice(words)
+            i += 1
+    xs += [(2000, None), (2001, "  "), (None, xs[0][1]), (3, xs[1][1])]
+    fp = [brute_simhash(t) for _, t in xs]
+    up = list(range(len(xs)))
+
+    def find(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for a in range(len(xs)):
+        for b in range(a):
+            if (fp[a] ^ fp[b]).bit_count() <= 4:
+                up[find(a)] = find(b)
+    least = {}
+    for a, (doc_id, _) in enumerate(xs):
+        if doc_id is not None:
+            least[find(a)] = min(doc_id, least.get(find(a), doc_id))
+    want = Counter((doc_id, f"{fp[a]:016x}", least[find(a)]) for a, (doc_id, _) in enumerate(xs))
+    assert Counter(map(tuple, simhash_components(docs(spark, xs)).collect())) == want
+    assert 20 < len(set(least.values())) < len(xs) - 10
+
+
 def test_simhash_index_finds_all_links():
     from strandwise.llm.simhash import blocks_for, gray_rank, masks, node_links
 
@@ -293,6 +333,21 @@ def test_secrets(spark, empty):
     assert trigram_query("abcd|xyz") == {frozenset(["abc", "bcd"]), frozenset(["xyz"])}
 
 
+def test_secrets_in_a_text_of_many(spark):
+    import time
+
+    from strandwise.llm.secrets import find_secrets
+
+    for n in (63, 64, 65, 4097):
+        text = "é " + "token=abcdef%06d " * n % tuple(range(n))
+        spans = find_secrets(docs(spark, [(1, text)])).collect()[0].spans.split(",")
+        assert spans == [f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=abcdef\d{6}", text)]
+    many = docs(spark, [(1, "0123456789abcdef01234567 " * 100_000)])
+    began = time.time()
+    row = find_secrets(many).collect()[0]
+    assert row.n_hex == 100_000 and row.spans.endswith("hex:2499975:2499999") and time.time() - began < 100
+
+
 def corpus(n=600):
     r = random.Random(9)
     words = {"en": "the and of to in is that for it was on are as with his they at be this from".split(), "de": "der die und das ist nicht ein für auf mit sich den von zu im dem".split(), "fr": "le la et les des en un du une que est pour qui dans sur pas".split()}
@@ -313,6 +368,39 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_language_against_plain_counts(spark):
+    from strandwise.llm.language import MAX_N, SMOOTHING, UNKNOWN, grams, predict, train
+
+    xs = corpus(150) + [(900, "the the die", "en"), (901, "the the die", "de"), (902, "xyz", None), (903, None, "fr"), (904, "7 8", "fr")]
+    d = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in xs], SCHEMA).repartition(5)
+    places = len(grams(["a"])[0][0]) and MAX_N << 14
+    counts, texts = {}, Counter()
+    for _, t, lang in xs:
+        if t is not None and lang is not None:
+            texts[lang] += 1
+            for n, p in enumerate(grams([t])[0]):
+                counts.setdefault(lang, [Counter() for _ in range(MAX_N)])[n].update(p.tolist())
+
+    def odds(t, lang):
+        total = math.log(texts[lang] / sum(texts.values()))
+        for n, p in enumerate(grams([t])[0]):
+            own = counts[lang][n]
+            every = sum(own.values()) + SMOOTHING * places / MAX_N
+            total += sum(math.log((own[x] + SMOOTHING) / every) for x in p.tolist())
+        return total
+
+    for group in (256, 2, 1):
+        got = {r.doc_id: r for r in predict(d, train(d, group)).collect()}
+        for i, t, _ in xs:
+            if not t or not any(c.isalpha() for c in t):
+                assert (got[i].lang_pred, got[i].score) == (UNKNOWN, 0.0)
+                continue
+            o = {lang: odds(t, lang) for lang in counts}
+            best = max(sorted(o), key=o.get)
+            assert o[got[i].lang_pred] == pytest.approx(o[best], abs=1e-3)
+            assert got[i].score == pytest.approx(1 / sum(math.exp(x - o[best]) for x in o.values()), rel=1e-2)
+
+
 def test_toxicity(spark, odd, empty):
     from strandwise.llm.toxicity import drop_toxic, toxicity
 
@@ -327,7 +415,25 @@ def test_toxicity(spark, odd, empty):
     kept = drop_toxic(docs(spark, xs, ["score"]), labels)
     assert kept.columns == docs(spark, xs, ["score"]).columns and not {x.doc_id for x in kept.collect()} & set(range(0, 1400, 35))
     assert toxicity(odd, labels).count() == len(ODD) and toxicity(empty, labels).count() == 0
-    assert toxicity(odd, labels.limit(0)).count() == len(ODD)
+    # Nothing to learn from, or one label only: nothing is toxic.
+    for none in (labels.limit(0), labels.filter("toxic = 0"), labels.filter("toxic = 1"), labels.filter("toxic is null")):
+        assert {(x.predicted, round(x.score, 6)) for x in toxicity(odd, none).collect()} == {(0, 0.25)}
+        assert Counter(map(tuple, drop_toxic(odd, none).collect())) == Counter(map(tuple, odd.collect()))
+    # Ids that repeat with different texts, in any order.
+    both = docs(spark, xs + [(i, t + " again") for i, t in xs[:300]])
+    one, two = (sorted((x.doc_id, round(x.score, 6), x.predicted) for x in toxicity(d, labels).collect()) for d in (both, both.repartition(5)))
+    assert one == two
+
+
+def test_calibration_reaches_its_least_loss():
+    from strandwise.llm.toxicity import calibrate
+
+    r = np.random.default_rng(3)
+    odds = np.concatenate([r.normal(-30, 40, 900), r.normal(20, 40, 60)])
+    y = np.repeat([0, 1], [900, 60])
+    a, b = calibrate(odds, y)
+    loss = lambda a, b: np.logaddexp(0, np.where(y == 1, -1, 1) * (a * odds + b)).sum() + (a - 1) ** 2 / 2 + 1e-2 * b * b / 2
+    assert all(loss(a, b) <= loss(a + x, b + z) for x in (-0.02, 0, 0.02) for z in (-0.1, 0, 0.1))
 
 
 def test_quality(spark, odd, empty):
@@ -338,6 +444,11 @@ def test_quality(spark, odd, empty):
     got = quality(docs(spark, xs), labels).collect()
     assert np.mean([x.predicted == int(x.doc_id % 4 != 0) for x in got]) > 0.95
     assert quality(odd, labels).count() == len(ODD) and quality(empty, labels).count() == 0
+    assert len({round(x.score, 9) for x in quality(odd, labels.limit(0)).collect()}) == 1
+    contrary = labels.unionByName(labels.filter("doc_id % 5 = 1").withColumn("quality", 1 - F.col("quality")))
+    mixed = docs(spark, xs + xs[:50] + [(i, None) for i, _ in xs[:20]])
+    one, two = (sorted((x.doc_id, round(x.score, 6), x.predicted) for x in quality(d, contrary).collect()) for d in (mixed, mixed.repartition(7)))
+    assert len(one) == 970 and one == two
 
 
 def test_co_training_uses_the_pool():
@@ -502,6 +613,28 @@ def test_pipeline(spark):
         assert f(spark, empty, data).count() == 0
 
 
+def test_pipeline_stages_keep_what_they_should(spark, odd, tmp_path):
+    """On nulls, repeated ids, other columns and no labels: each stage keeps just the rows that brute force keeps."""
+    import corpus_pipeline as c
+
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(c.STAGES)
+    rows = lambda d: Counter((r.doc_id, r.text) for r in d.collect())
+    clean = stages["toxicity"](spark, odd, str(tmp_path))
+    assert rows(clean) == Counter(ODD) and clean.columns == odd.columns
+    once = c.materialise(stages["exact_dedup"](spark, clean, str(tmp_path)), "test")
+    fold = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    assert Counter(fold(r.text) for r in once.collect()) == Counter({fold(t) for _, t in ODD})
+    near = c.materialise(stages["near_dedup"](spark, once, str(tmp_path)), "test")
+    left = [(r.doc_id, r.text) for r in once.collect()]
+    prints = {brute_simhash(t) for _, t in left}
+    assert all((a ^ b).bit_count() > 4 for a in prints for b in prints if a != b)
+    assert Counter(brute_simhash(r.text) for r in near.collect()) == Counter(prints) and not rows(near) - Counter(left)
+    mixed = c.materialise(stages["mixing"](spark, near, str(tmp_path)), "test")
+    assert mixed.columns == odd.columns and set(rows(mixed)) <= set(rows(near))
+    assert stages["encoding"](spark, mixed, str(tmp_path)).count() == mixed.count()
+
+
 def test_registered_queries_equal_their_sql(spark):
     import os
 
