@@ -53,8 +53,8 @@ def kmers(seq: Column, k: int) -> Column:
 
 
 def letters(seq: Column) -> Column:
-    """Array of the letters."""
-    return F.regexp_extract_all(seq, F.lit("(.)"), F.lit(1))
+    """Array of the letters; an empty pattern splits without any matching."""
+    return F.when(F.length(seq) == 0, F.array().cast("array<string>")).otherwise(F.split(seq, ""))
 
 
 def kmer_code(kmer: Column) -> Column:

@@ -70,20 +70,65 @@ def score_chain(counts: DataFrame, r: float = SHORT, least_share: float = 0.8, k
     return chained.withColumn("zero", F.col("total") == 1).withColumn("low", (F.col("n") / F.col("total") < least_share) & (F.col("total") > 1))
 
 
+def contig_cells(contigs: DataFrame, inserted: DataFrame) -> DataFrame:
+    """The contig itself as read -1: rid, tid, pos, ins, base; '-' in the columns inserted(tid, pos, columns)."""
+    own = contigs.filter("length(seq) > 0").select("tid", F.posexplode(letters(F.upper("seq"))).alias("pos", "base")).select(F.lit(-1).cast("long").alias("rid"), "tid", F.col("pos").cast("long").alias("pos"), F.lit(0).alias("ins"), "base")
+    gaps = inserted.select(F.lit(-1).cast("long").alias("rid"), "tid", "pos", F.explode(F.sequence(F.lit(1), F.col("columns"))).alias("ins"), F.lit("-").alias("base"))
+    return own.unionByName(gaps)
+
+
 def with_contig(walked: DataFrame, contigs: DataFrame) -> DataFrame:
     """walked(rid, tid, pos, ins, base) and the contig itself as read -1, which shows '-' in inserted columns."""
-    own = contigs.filter("length(seq) > 0").select("tid", F.posexplode(letters(F.upper("seq"))).alias("pos", "base")).select(F.lit(-1).cast("long").alias("rid"), "tid", F.col("pos").cast("long").alias("pos"), F.lit(0).alias("ins"), "base")
-    columns = walked.filter("ins > 0").groupBy("tid", "pos").agg(F.max("ins").alias("_m")).select("tid", "pos", F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("ins"))
-    gaps = columns.select(F.lit(-1).cast("long").alias("rid"), "tid", "pos", "ins", F.lit("-").alias("base"))
-    return walked.select("rid", "tid", "pos", "ins", "base").unionByName(own).unionByName(gaps)
+    columns = walked.filter("ins > 0").groupBy("tid", "pos").agg(F.max("ins").alias("columns"))
+    return walked.select("rid", "tid", "pos", "ins", "base").unionByName(contig_cells(contigs, columns))
+
+
+#: Positions of a contig that are looked at together; each part begins with the two columns before it.
+_PART = 65536
+
+
+def _with_before(cells: DataFrame) -> DataFrame:
+    """cells(rid, tid, pos, ins, base) with _p and _pp, the two cells before, by a window over each read, and over the
+    contig (rid -1) in parts."""
+    part = F.when(F.col("rid") < 0, F.floor(F.col("pos") / _PART))
+    order = Window.partitionBy("rid", "tid", "_part").orderBy("pos", "ins")
+    both = cells.withColumn("_part", part).withColumn("_own", F.lit(True))
+    # A part's last positions come again before the next one: three letters are enough, whatever is inserted there.
+    again = both.filter((F.col("rid") < 0) & (F.col("pos") % _PART >= _PART - 2)).withColumn("_part", F.col("_part") + 1).withColumn("_own", F.lit(False))
+    rows = both.unionByName(again)
+    cell = F.struct("pos", "ins", "base")
+    return rows.withColumn("_p", F.lag(cell, 1).over(order)).withColumn("_pp", F.lag(cell, 2).over(order)).filter("_own").drop("_own", "_part")
+
+
+def _cell_kmers(cells: DataFrame) -> DataFrame:
+    """cells -> rid, tid, pos, ins, kmer."""
+    before = lambda c: F.coalesce(F.col(f"{c}.base"), F.lit("."))
+    return _with_before(cells).select("rid", "tid", "pos", "ins", F.concat(before("_pp"), before("_p"), F.col("base")).alias("kmer"))
+
+
+def contig_positional_kmers(contigs: DataFrame, inserted: DataFrame) -> DataFrame:
+    """The contig's own rows of read_positional_kmers."""
+    rows = _with_before(contig_cells(contigs, inserted))
+    return rows.select("rid", "tid", "pos", "ins", "base", *[F.col(f"_{p}.{c}").alias(f"{p}_{c}") for p in ("p", "pp") for c in ("pos", "ins", "base")])
 
 
 def counted_kmers(walked: DataFrame) -> DataFrame:
     """with_contig's rows -> tid, pos, ins, kmer, n, first_rid, own."""
-    order = Window.partitionBy("rid", "tid", F.when(F.col("rid") < 0, F.floor(F.col("pos") / 65536))).orderBy("pos", "ins")
-    before = lambda k: F.coalesce(F.lag("base", k).over(order), F.lit("."))
-    seen = walked.withColumn("kmer", F.concat(before(2), before(1), F.col("base")))
-    return seen.groupBy("tid", "pos", "ins", "kmer").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first_rid"), F.max(F.col("rid") < 0).alias("own"))
+    return _counted(_cell_kmers(walked))
+
+
+def _counted(kmers: DataFrame) -> DataFrame:
+    return kmers.groupBy("tid", "pos", "ins", "kmer").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first_rid"), F.max(F.col("rid") < 0).alias("own"))
+
+
+def counted_read_kmers(aln: DataFrame, contigs: DataFrame) -> DataFrame:
+    """The same of alignments without padding: a read's 3-mers are made within its row, so that only counts and the
+    contigs' own cells are shuffled. aln(rid, tid, pos, cigar, seq), contigs(tid, seq)."""
+    from strandwise.operators import pileup
+
+    columns = pileup.read_insertions(aln)
+    own = _cell_kmers(contig_cells(contigs, columns))
+    return _counted(pileup.read_kmers(aln).unionByName(own))
 
 
 def windowed(counts: DataFrame, width: int, overlap: int) -> DataFrame:
@@ -96,18 +141,35 @@ def windowed(counts: DataFrame, width: int, overlap: int) -> DataFrame:
 # Haplotypes of regions
 
 
-def region_haplotypes(walked: DataFrame, reads: DataFrame, regions: DataFrame) -> DataFrame:
-    """walked(rid, tid, pos, ins, base, qual), reads(rid, tid, beg, end, mapq), regions(tid, beg, end) -> tid, beg, end,
-    hap, num, mapq_sum, qual_sum, first_rid: what the reads that span a region show in it."""
+def region_haplotypes(aln: DataFrame, regions: DataFrame) -> DataFrame:
+    """aln(rid, tid, pos, cigar, seq, beg, end, mapq[, qual]), regions(tid, beg, end) -> tid, beg, end, hap, num,
+    mapq_sum, qual_sum, first_rid: what the reads that span a region show in it. The region is cut out of the read's row
+    by its CIGAR; no column of the pile-up is made."""
+    from strandwise.functions import cigar as cg
     from strandwise.operators.ranges import contains_join
 
-    spanning = contains_join(reads.select("rid", "tid", "beg", "end", "mapq"), regions.select("tid", "beg", "end"))
-    spanning = spanning.select("rid", "tid", F.col("r_beg").alias("_beg"), F.col("r_end").alias("_end"), "mapq")
-    cells = spanning.join(walked.select("rid", "pos", "ins", "base", "qual"), "rid").filter((F.col("pos") >= F.col("_beg")) & (F.col("pos") < F.col("_end")))
-    per = cells.groupBy("rid", "tid", "_beg", "_end", "mapq").agg(F.array_sort(F.collect_list(F.struct("pos", "ins", "base"))).alias("_c"), F.avg("qual").alias("_q"))
-    shown = per.withColumn("hap", F.array_join(F.filter(F.col("_c.base"), lambda b: b != "-"), ""))
-    grouped = shown.groupBy("tid", F.col("_beg").alias("beg"), F.col("_end").alias("end"), "hap")
-    return grouped.agg(F.count(F.lit(1)).alias("num"), F.sum("mapq").cast("long").alias("mapq_sum"), F.sum(F.floor("_q")).cast("long").alias("qual_sum"), F.min("rid").alias("first_rid"))
+    ops = F.filter(cg.with_offsets(F.col("cigar")), lambda x: x["op"].isin("M", "=", "X", "I") & (x["len"] > 0))
+    qual = F.col("qual").cast("array<int>") if "qual" in aln.columns else F.lit(None).cast("array<int>")
+    rows = aln.select("rid", "tid", "beg", "end", "mapq", "pos", "seq", qual.alias("_qual"), ops.alias("_ops"))
+    spanning = contains_join(rows, regions.select("tid", "beg", "end"))
+
+    def part(o: Column) -> Column:
+        """Where the operation's letters of the region begin in the read, and how many they are."""
+        at = F.col("pos") + o["r"]
+        low, high = F.greatest(at, F.col("r_beg")), F.least(at + o["len"], F.col("r_end"))
+        inside = (at - 1 >= F.col("r_beg")) & (at - 1 < F.col("r_end"))  # inserted letters belong to the position before
+        ins = o["op"] == "I"
+        n = F.when(ins, F.when(inside, o["len"]).otherwise(0)).otherwise(F.greatest(high - low, F.lit(0)))
+        return F.struct(F.when(ins, o["q"]).otherwise(o["q"] + low - at).cast("int").alias("q"), n.cast("int").alias("n"))
+
+    parts = F.filter(F.transform("_ops", part), lambda x: x["n"] > 0)
+    cut = spanning.select("rid", "tid", F.col("r_beg").alias("beg"), F.col("r_end").alias("end"), "mapq", "seq", "_qual", parts.alias("_p"))
+    hap = F.upper(F.array_join(F.transform("_p", lambda x: F.substring(F.col("seq"), x["q"] + 1, x["n"])), ""))
+    quals = F.flatten(F.transform("_p", lambda x: F.slice("_qual", x["q"] + 1, x["n"])))
+    mean = F.aggregate(quals, F.lit(0.0), lambda a, q: a + q) / F.when(F.size(quals) > 0, F.size(quals))
+    shown = cut.select("rid", "tid", "beg", "end", "mapq", hap.alias("hap"), F.floor(mean).alias("_q"))
+    grouped = shown.groupBy("tid", "beg", "end", "hap")
+    return grouped.agg(F.count(F.lit(1)).alias("num"), F.sum("mapq").cast("long").alias("mapq_sum"), F.sum("_q").cast("long").alias("qual_sum"), F.min("rid").alias("first_rid"))
 
 
 def best_haplotypes(haps: DataFrame, all_best: int = 3000) -> DataFrame:
@@ -143,13 +205,40 @@ def call_snps(counts: DataFrame, reference: DataFrame, low: float = 0.34, least:
     return joined.select("tid", "pos", "ref", "first", "second", "n1", "n2", call.alias("call"))
 
 
-def snp_links(walked: DataFrame, snps: DataFrame) -> DataFrame:
-    """walked(rid, tid, pos, ins, base, mapq, qual), snps(tid, pos, first, second) -> tid, pos, prev_pos, prev_allele,
-    allele, num, mapq_sum, qual_sum: alleles (0 or 1) that reads show at neighbouring sites."""
-    rows = walked.filter("ins = 0").join(snps.select("tid", "pos", "first", "second"), ["tid", "pos"])
-    rows = rows.withColumn("allele", F.when(F.col("base") == F.col("first"), 0).when(F.col("base") == F.col("second"), 1)).filter("allele is not null")
-    order = Window.partitionBy("rid", "tid").orderBy("pos")
-    linked = rows.withColumn("prev_pos", F.lag("pos").over(order)).withColumn("prev_allele", F.lag("allele").over(order)).filter("prev_pos is not null")
+def snp_links(aln: DataFrame, snps: DataFrame, width: int = 1024) -> DataFrame:
+    """aln(rid, tid, pos, cigar, seq, beg, end, mapq[, qual]), snps(tid, pos, first, second) -> tid, pos, prev_pos,
+    prev_allele, allele, num, mapq_sum, qual_sum: alleles (0 or 1) that reads show at neighbouring sites.
+
+    The SNPs of a stretch of a contig are one row; reads meet the stretches that they touch, and read their bases off
+    their CIGARs, so what is shuffled are reads and not their columns.
+    """
+    from strandwise.functions import cigar as cg
+
+    ops = F.filter(cg.with_offsets(F.col("cigar")), lambda x: x["op"].isin("M", "=", "X", "D") & (x["len"] > 0))
+    qual = F.col("qual").cast("array<int>") if "qual" in aln.columns else F.lit(None).cast("array<int>")
+    stretch = F.sequence(F.floor(F.col("beg") / width), F.floor((F.greatest(F.col("end"), F.col("beg") + 1) - 1) / width))
+    reads = aln.select("rid", "tid", "mapq", "pos", "seq", qual.alias("_qual"), ops.alias("_ops"), F.explode(stretch).alias("_bin"))
+    sites = snps.groupBy("tid", F.floor(F.col("pos") / width).alias("_bin")).agg(F.array_sort(F.collect_list(F.struct("pos", "first", "second"))).alias("_snps"))  # width at most
+
+    def shown(o: Column) -> Column:
+        """What the read shows at the SNPs that the operation covers: (pos, allele, qual)."""
+        at = F.col("pos") + o["r"]
+        here = F.filter("_snps", lambda x: (x["pos"] >= at) & (x["pos"] < at + o["len"]))
+
+        def one(x: Column) -> Column:
+            q = (o["q"] + x["pos"] - at).cast("int")
+            gap = o["op"] == "D"
+            base = F.when(gap, F.lit("-")).otherwise(F.upper(F.substring(F.col("seq"), q + 1, F.lit(1))))
+            allele = F.when(base == x["first"], 0).when(base == x["second"], 1)
+            return F.struct(x["pos"].alias("pos"), allele.alias("allele"), F.when(~gap, F.get("_qual", q)).alias("qual"))
+
+        return F.filter(F.transform(here, one), lambda x: x["allele"].isNotNull())
+
+    met = reads.join(sites, ["tid", "_bin"]).select("rid", "tid", "mapq", F.flatten(F.transform("_ops", shown)).alias("_a"))
+    per = met.groupBy("rid", "tid", "mapq").agg(F.array_sort(F.flatten(F.collect_list("_a"))).alias("_a"))  # one read's own
+    pairs = F.transform(F.col("_a"), lambda x, i: F.struct(x.alias("x"), F.get("_a", i - 1).alias("p")))
+    linked = per.select("tid", "mapq", F.explode(pairs).alias("_l")).filter("_l.p is not null")
+    linked = linked.select("tid", "mapq", F.col("_l.x.pos").alias("pos"), F.col("_l.p.pos").alias("prev_pos"), F.col("_l.p.allele").alias("prev_allele"), F.col("_l.x.allele").alias("allele"), F.col("_l.x.qual").alias("qual"))
     return linked.groupBy("tid", "pos", "prev_pos", "prev_allele", "allele").agg(F.count(F.lit(1)).alias("num"), F.sum("mapq").cast("long").alias("mapq_sum"), F.coalesce(F.sum("qual"), F.lit(0)).cast("long").alias("qual_sum"))
 
 
@@ -394,14 +483,18 @@ def update_sites(sites: DataFrame, new: DataFrame, flag: Column | None = None) -
     return out if flag is None else out.withColumn("low", flag)
 
 
-def anchors(sites: DataFrame) -> DataFrame:
-    """sites(tid, pos, snp) -> tid, pos, left, right of the SNPs: the nearest sites that aren't any. Blocks of a contig
-    are looked at with the last and first plain site of their neighbours."""
-    w, back = Window.partitionBy("tid").orderBy("pos"), Window.partitionBy("tid").orderBy(F.desc("pos"))  # both run forward
+def anchors(sites: DataFrame, width: int = 4096) -> DataFrame:
+    """sites(tid, pos, snp) -> tid, pos, left, right of the SNPs: the nearest sites that aren't any. Stretches of a contig
+    are looked at on their own; beyond them the last and first plain sites of the stretches around decide."""
+    rows = sites.select("tid", "pos", "snp", F.floor(F.col("pos") / width).alias("_bin"))
     plain = F.when(~F.col("snp"), F.col("pos"))
-    left = F.last(plain, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.last(plain, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    return sites.withColumn("left", left).withColumn("right", right).filter("snp").select("tid", "pos", "left", "right")
+    ends = rows.groupBy("tid", "_bin").agg(F.max(plain).alias("_last"), F.min(plain).alias("_first"))
+    up, down = Window.partitionBy("tid").orderBy("_bin"), Window.partitionBy("tid").orderBy(F.desc("_bin"))  # a row for width sites
+    beyond = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("tid", "_bin", F.last("_last", ignorenulls=True).over(beyond(up)).alias("_l"), F.last("_first", ignorenulls=True).over(beyond(down)).alias("_r"))
+    w, back = Window.partitionBy("tid", "_bin").orderBy("pos"), Window.partitionBy("tid", "_bin").orderBy(F.desc("pos"))  # both run forward
+    near = rows.withColumn("_ol", F.last(plain, ignorenulls=True).over(beyond(w))).withColumn("_or", F.last(plain, ignorenulls=True).over(beyond(back))).filter("snp")
+    return near.join(ends, ["tid", "_bin"]).select("tid", "pos", F.coalesce("_ol", "_l").alias("left"), F.coalesce("_or", "_r").alias("right"))
 
 
 TaskFunction = Callable[..., DataFrame]

@@ -70,6 +70,13 @@ def insertion_columns(walked: DataFrame) -> DataFrame:
     return walked.filter("ins > 0").groupBy("tid", "pos").agg(F.max("ins").alias("columns"))
 
 
+def read_insertions(aln: DataFrame) -> DataFrame:
+    """The same from alignments(tid, pos, cigar): the CIGARs alone tell."""
+    ops = F.filter(cg.with_offsets(F.col("cigar")), lambda x: (x["op"] == "I") & (x["len"] > 0))
+    each = aln.select("tid", "pos", F.explode(ops).alias("_o"))
+    return each.groupBy("tid", (F.col("pos") + F.col("_o.r") - 1).cast("long").alias("pos")).agg(F.max("_o.len").alias("columns"))
+
+
 def with_padding(walked: DataFrame, reads: DataFrame) -> DataFrame:
     """walked, and '-' in every inserted column that a read of reads(rid, tid, beg, end) crosses without a base there.
 
@@ -85,22 +92,53 @@ def with_padding(walked: DataFrame, reads: DataFrame) -> DataFrame:
     return walked.select("rid", "tid", "pos", "ins", "qidx", "base", F.col("qual").cast("int").alias("qual")).unionByName(pads)
 
 
-def kmer3(walked: DataFrame) -> DataFrame:
-    """walked(rid, tid, pos, ins, base) -> tid, pos, ins, kmer, n, first_rid: the last three bases that each read shows
-    at each site; '.' where it hasn't shown as many yet. The window is a read's own, never a contig's."""
-    order = Window.partitionBy("rid", "tid").orderBy("pos", "ins")
-    before = lambda k: F.coalesce(F.lag("base", k).over(order), F.lit("."))
-    seen = walked.withColumn("kmer", F.concat(before(2), before(1), F.col("base")))
-    return seen.groupBy("tid", "pos", "ins", "kmer").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first_rid"))
+def columns(aln: DataFrame) -> Column:
+    """Of an alignment(pos, cigar, seq) the array of (pos, ins, base) that walk gives, in order: one read's own columns,
+    so that what looks at neighbouring ones needs no shuffle."""
+    ops = F.filter(cg.with_offsets(F.col("cigar")), lambda x: x["op"].isin("M", "=", "X", "D", "I") & (x["len"] > 0))
+
+    def each(o: Column) -> Column:
+        bases = F.when(o["op"] == "D", F.array_repeat(F.lit(GAP), o["len"])).otherwise(letters(F.upper(F.substring(F.col("seq"), o["q"] + 1, o["len"]))))
+        is_ins = o["op"] == "I"
+        at = F.col("pos") + o["r"]
+        return F.transform(bases, lambda b, i: F.struct((at + F.when(is_ins, F.lit(-1)).otherwise(i)).cast("long").alias("pos"), F.when(is_ins, i + 1).otherwise(0).cast("int").alias("ins"), b.alias("base")))
+
+    return F.flatten(F.transform(ops, each))
+
+
+def read_kmers(aln: DataFrame, keep: tuple[str, ...] = ("rid", "tid")) -> DataFrame:
+    """aln(keep, pos, cigar, seq) -> keep, pos, ins, kmer: the last three bases that each read shows at each of its
+    columns; '.' where it hasn't shown as many yet."""
+    before = lambda xs, i: F.coalesce(F.get(xs, i)["base"], F.lit("."))
+    each = lambda xs: F.transform(xs, lambda x, i: F.struct(x["pos"].alias("pos"), x["ins"].alias("ins"), F.concat(before(xs, i - 2), before(xs, i - 1), x["base"]).alias("kmer")))
+    cells = F.element_at(F.transform(F.array(columns(aln)), each), 1)
+    return aln.select(*keep, F.explode(cells).alias("_c")).select(*keep, "_c.*")
+
+
+def kmer3(aln: DataFrame) -> DataFrame:
+    """aln(rid, tid, pos, cigar, seq) -> tid, pos, ins, kmer, n, first_rid: read_kmers counted over the reads."""
+    return read_kmers(aln).groupBy("tid", "pos", "ins", "kmer").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first_rid"))
+
+
+_POSITIONAL = ["pos", "ins", "base", *[f"{p}_{c}" for p in ("p", "pp") for c in ("pos", "ins", "base")]]
+
+
+def read_positional_kmers(aln: DataFrame, keep: tuple[str, ...] = ("rid", "tid")) -> DataFrame:
+    """aln -> keep, pos, ins, base, p_*, pp_*: each column of each read with the two before it."""
+    each = lambda xs: F.transform(xs, lambda x, i: F.struct(x.alias("c"), F.get(xs, i - 1).alias("p"), F.get(xs, i - 2).alias("pp")))
+    cells = F.element_at(F.transform(F.array(columns(aln)), each), 1)
+    rows = aln.select(*keep, F.explode(cells).alias("_c"))
+    return rows.select(*keep, "_c.c.*", *[F.col(f"_c.{p}.{c}").alias(f"{p}_{c}") for p in ("p", "pp") for c in ("pos", "ins", "base")])
+
+
+def counted_positional(cells: DataFrame) -> DataFrame:
+    """read_positional_kmers' rows -> tid, pos, ins, base, p_*, pp_*, n."""
+    return cells.groupBy("tid", *_POSITIONAL).agg(F.count(F.lit(1)).alias("n"))
 
 
-def positional_kmer3(walked: DataFrame) -> DataFrame:
-    """The same with the coordinates of the three bases in the key: tid, pos, ins, base, p_*, pp_*, n."""
-    order = Window.partitionBy("rid", "tid").orderBy("pos", "ins")
-    cell = F.struct("pos", "ins", "base")
-    seen = walked.withColumn("_p", F.lag(cell, 1).over(order)).withColumn("_pp", F.lag(cell, 2).over(order))
-    keys = ["tid", "pos", "ins", "base", *[F.col(f"_{p}.{c}").alias(f"{p}_{c}") for p in ("p", "pp") for c in ("pos", "ins", "base")]]
-    return seen.select(*keys).groupBy("tid", "pos", "ins", "base", *[f"{p}_{c}" for p in ("p", "pp") for c in ("pos", "ins", "base")]).agg(F.count(F.lit(1)).alias("n"))
+def positional_kmer3(aln: DataFrame) -> DataFrame:
+    """The same as kmer3 with the coordinates of the three bases in the key: tid, pos, ins, base, p_*, pp_*, n."""
+    return counted_positional(read_positional_kmers(aln))
 
 
 def base_counts(counted: DataFrame) -> DataFrame:
@@ -136,7 +174,8 @@ def consensus_strings(sites: DataFrame, deleted: str = GAP) -> DataFrame:
     """sites(tid, pos, ins, base, low) -> tid, seq, len: bases in order; low ones in lower case; a deleted low site
     passes its lower case on to the next printed base. Chunks of 4096 positions are built first, then joined.
 
-    The carried flag looks at the site before within a chunk of the contig and at its last site across chunks.
+    A chunk hands on whether its last sites are deleted low ones; one that prints nothing and has none of these hands on
+    what it got.
     """
     chunked = sites.withColumn("_chunk", F.floor(F.col("pos") / 4096))
     cell = F.struct("pos", "ins", "base", "low")
@@ -150,7 +189,8 @@ def consensus_strings(sites: DataFrame, deleted: str = GAP) -> DataFrame:
         return F.struct(s.alias("s"), F.when(gone, low).otherwise(F.lit(False)).alias("carry"), (a["none"] & gone).alias("none"))
 
     built = per.select("tid", "_chunk", F.aggregate("_cells", start, step).alias("_x"))
-    before = F.lag("_x.carry").over(Window.partitionBy("tid").orderBy("_chunk"))
+    told = F.when(~F.col("_x.none") | F.col("_x.carry"), F.col("_x.carry"))
+    before = F.last(told, ignorenulls=True).over(Window.partitionBy("tid").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
     fixed = built.withColumn("_c", F.coalesce(before, F.lit(False))).withColumn("_s", F.when(F.col("_c"), F.concat(F.lower(F.substring("_x.s", 1, 1)), F.expr("substring(_x.s, 2)"))).otherwise(F.col("_x.s")))
     joined = fixed.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_s"))).alias("_p"))
     seq = F.array_join(F.col("_p._s"), "")

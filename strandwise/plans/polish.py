@@ -52,9 +52,7 @@ def haplotypes(contigs: DataFrame, aln: DataFrame, s: Settings) -> DataFrame:
     masked = regions.position_runs(sites.filter("low").select("tid", "pos"), gap=s.region_gap).select("tid", "beg", "end")
     sure = sites.filter(~F.col("low")).select("tid", "pos")
     parts = regions.split_regions(masked, sure, longest=s.longest_region)
-    walked = pileup.walk(aln, ("rid", "tid"))
-    reads = aln.select("rid", "tid", "beg", "end", "mapq").filter(F.col("mapq") >= s.min_mapq)
-    best = consensus.best_haplotypes(consensus.region_haplotypes(walked, reads, parts), 60 * s.observations)
+    best = consensus.best_haplotypes(consensus.region_haplotypes(aln.filter(F.col("mapq") >= s.min_mapq), parts), 60 * s.observations)
     # The whole haplotype stands at the region's first site, and nothing at the others.
     new = best.select("tid", "beg", F.explode(F.sequence(F.col("beg"), F.col("end") - 1)).alias("pos"), "hap")
     shown = F.when((F.col("pos") == F.col("beg")) & (F.col("hap") != ""), F.col("hap")).otherwise(pileup.GAP)
@@ -69,7 +67,7 @@ def snp_phase(contigs: DataFrame, aln: DataFrame, s: Settings) -> DataFrame:
     counts = walked.filter("ins = 0").groupBy("tid", "pos", "base").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("first_rid"))
     called = consensus.call_snps(counts, sites.select("tid", "pos", "base"), s.snp_low, s.least_snp_count)
     het = called.filter("call = 1")
-    phased = consensus.phase(het, consensus.snp_links(walked, het)).select("tid", "pos", "allele")
+    phased = consensus.phase(het, consensus.snp_links(aln, het)).select("tid", "pos", "allele")
     chosen = het.join(phased, ["tid", "pos"]).select("tid", "pos", F.when(F.col("allele") == 0, F.col("first")).otherwise(F.coalesce("second", "first")).alias("base"), F.lit(True).alias("low"))
     new = called.filter("call = 2").select("tid", "pos", F.col("first").alias("base"), F.lit(False).alias("low")).unionByName(chosen)
     return _strings(consensus.update_sites(sites, new.withColumn("ins", F.lit(0))))
@@ -77,10 +75,11 @@ def snp_phase(contigs: DataFrame, aln: DataFrame, s: Settings) -> DataFrame:
 
 def long_consensus(contigs: DataFrame, aln: DataFrame, s: Settings) -> DataFrame:
     """Tasks 5 and 6: the best path over the reads' positional three-mers; the contig is one of the paths."""
-    walked = pileup.walk(aln, ("rid", "tid"))
-    both = consensus.with_contig(walked, contigs)
-    edges = consensus.windowed(pileup.positional_kmer3(both), s.window, s.overlap)
-    coverage = consensus.windowed(pileup.evidence(both.withColumn("qual", F.lit(None).cast("int"))).select("tid", "pos", "coverage"), s.window, s.overlap)
+    own = consensus.contig_positional_kmers(contigs, pileup.read_insertions(aln))
+    edges = consensus.windowed(pileup.counted_positional(pileup.read_positional_kmers(aln).unionByName(own)), s.window, s.overlap)
+    every = pileup.depth(aln.select("tid", "pos", "cigar"), skip_deletions=False).withColumnRenamed("depth", "coverage")
+    contig = own.filter("ins = 0").select("tid", "pos", F.lit(1).cast("long").alias("coverage"))
+    coverage = consensus.windowed(every.unionByName(contig).groupBy("tid", "pos").agg(F.sum("coverage").alias("coverage")), s.window, s.overlap)
     found = consensus.msa_consensus(edges, coverage, s.read_type, ("tid", "win"))
     return _strings(regions.stitch(found.select("tid", "win", "pos", "ins", "base", "low"), s.stitch))
 

@@ -129,15 +129,13 @@ _LINKS = """al AS (SELECT w.rid, w.tid, w.pos, w.mapq, CASE WHEN w.base = 4 THEN
 
 @query(f"WITH {ALN}, {READS}, {WALK}, {_SNPS}, {_LINKS} SELECT tid, pos, prev_pos, prev_a::INTEGER AS prev_allele, a::INTEGER AS allele, count(*) AS num, sum(mapq)::BIGINT AS mapq_sum, coalesce(sum(qual), 0)::BIGINT AS qual_sum FROM lk WHERE prev_pos IS NOT NULL GROUP BY ALL")
 def snp_links(spark, d):
-    walked = _walked(spark, d)
-    return consensus.snp_links(walked, _snps(walked).filter("call = 1"))
+    return consensus.snp_links(pileup.spans(_reads(spark, d)), _snps(_walked(spark, d)).filter("call = 1"))
 
 
 @query()
 def snp_phase_dp(spark, d):
-    walked = _walked(spark, d)
-    snps = _snps(walked).filter("call = 1")
-    return consensus.phase(snps, consensus.snp_links(walked, snps))
+    snps = _snps(_walked(spark, d)).filter("call = 1")
+    return consensus.phase(snps, consensus.snp_links(pileup.spans(_reads(spark, d)), snps))
 
 
 @query(f"""WITH {ALN}, {READS}, {WALK}, {_SNPS}, sf AS (SELECT tid, pos, call = 1 AS snp FROM sn), an AS (SELECT tid, pos, snp, last_value(CASE WHEN NOT snp THEN pos END IGNORE NULLS) OVER (PARTITION BY tid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
@@ -156,7 +154,7 @@ _REGION = "rg AS (SELECT unnest(range(0, 10)) AS tid), reg AS (SELECT tid, b AS
 def haplotype_best(spark, d):
     reads = pileup.spans(_reads(spark, d))
     regions = spark.range(0, 20000, 40).crossJoin(spark.range(10).withColumnRenamed("id", "tid")).select("tid", F.col("id").alias("beg"), (F.col("id") + 12).alias("end"))
-    return consensus.best_haplotypes(consensus.region_haplotypes(pileup.walk(reads), reads, regions))
+    return consensus.best_haplotypes(consensus.region_haplotypes(reads, regions))
 
 
 @query(f"""WITH {ALN}, r AS (SELECT tid, rid, mapq, coalesce(sum((mapq = 60)::INTEGER) OVER (PARTITION BY tid ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM aln WHERE flag & 3076 = 0) SELECT tid, rid, mapq FROM r WHERE seen < 50""")
@@ -182,11 +180,11 @@ def candidate_pruning(spark, d):
 
 def _counts(spark, d):
     """Three-mers of the reads and of the contigs that the lens has for them, in windows."""
-    walked = pileup.walk(_reads(spark, d))
-    width = walked.groupBy("tid").agg(F.max("pos").alias("last"))
+    reads = _reads(spark, d)
+    width = pileup.spans(reads).groupBy("tid").agg((F.max("end") - 1).alias("last"))
     letter = lambda p: sq.base_of(lens.ref_base(F.col("tid"), p), "ACGT")
     contigs = width.select("tid", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), letter), "").alias("seq"))
-    return consensus.counted_kmers(consensus.with_contig(walked, contigs))
+    return consensus.counted_read_kmers(reads, contigs)
 
 
 @query()
@@ -200,9 +198,9 @@ def score_chain(spark, d):
 
 @query()
 def msa_best_path(spark, d):
-    walked = pileup.walk(_reads(spark, d))
-    edges = consensus.windowed(pileup.positional_kmer3(walked), 5000, 1000)
-    coverage = consensus.windowed(pileup.evidence(walked, 2).select("tid", "pos", "coverage"), 5000, 1000)
+    reads = _reads(spark, d)
+    edges = consensus.windowed(pileup.positional_kmer3(reads), 5000, 1000)
+    coverage = consensus.windowed(pileup.depth(reads, skip_deletions=False).select("tid", "pos", F.col("depth").alias("coverage")), 5000, 1000)
     return consensus.msa_consensus(edges, coverage, keys=("tid", "win"))
 
 

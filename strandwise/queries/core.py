@@ -396,23 +396,23 @@ _KMER3 = """w3 AS (SELECT *, substr('ACGT-', base::INTEGER + 1, 1) AS b FROM wal
 
 @query(f"WITH {ALN}, {READS}, {WALK}, {_KMER3} SELECT tid, pos, ins::INTEGER AS ins, kmer, count(*) AS n, min(rid) AS first_rid FROM l3 GROUP BY ALL")
 def pileup_kmer3(spark, d):
-    return pileup.kmer3(pileup.walk(_reads(spark, d)))
+    return pileup.kmer3(_reads(spark, d))
 
 
 @query(f"WITH {ALN}, {READS}, {WALK}, {_KMER3}, m AS (SELECT tid, pos, ins, b AS base, count(*) AS n, min(rid) AS first_rid FROM l3 GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY tid, pos, ins ORDER BY n DESC, first_rid, base) AS rank FROM m) SELECT tid, pos, ins::INTEGER AS ins, base, n, first_rid, rank::INTEGER AS rank FROM t WHERE rank <= 2")
 def top_alleles(spark, d):
-    return pileup.top_alleles(pileup.base_counts(pileup.kmer3(pileup.walk(_reads(spark, d)))).select("tid", "pos", "ins", "base", F.col("n").cast("long").alias("n"), "first_rid"), 2)
+    return pileup.top_alleles(pileup.base_counts(pileup.kmer3(_reads(spark, d))).select("tid", "pos", "ins", "base", F.col("n").cast("long").alias("n"), "first_rid"), 2)
 
 
 @query(f"""WITH {ALN}, {READS}, {WALK}, w3 AS (SELECT *, substr('ACGT-', base::INTEGER + 1, 1) AS b FROM walk), l AS (SELECT tid, pos, ins::INTEGER AS ins, b AS base, lag(pos, 1) OVER w AS p_pos, (lag(ins, 1) OVER w)::INTEGER AS p_ins, lag(b, 1) OVER w AS p_base, lag(pos, 2) OVER w AS pp_pos, (lag(ins, 2) OVER w)::INTEGER AS pp_ins, lag(b, 2) OVER w AS pp_base FROM w3 WINDOW w AS (PARTITION BY rid, tid ORDER BY pos, ins))
     SELECT *, count(*) AS n FROM l GROUP BY ALL""")
 def msa_edges(spark, d):
-    return pileup.positional_kmer3(pileup.walk(_reads(spark, d)))
+    return pileup.positional_kmer3(_reads(spark, d))
 
 
 @query(f"WITH {ALN}, {READS} SELECT tid, pos + 19 AS pos, max(ins_len)::INTEGER AS columns FROM reads WHERE ins_len > 0 GROUP BY tid, pos + 19")
 def insertion_columns(spark, d):
-    return pileup.insertion_columns(pileup.walk(_reads(spark, d)))
+    return pileup.read_insertions(_reads(spark, d))
 
 
 @query(f"""WITH {ALN}, {READS}, ic AS (SELECT tid, pos + 19 AS pos, max(ins_len) AS columns FROM reads WHERE ins_len > 0 GROUP BY ALL), cr AS (SELECT rid, r.tid, ic.pos, columns, CASE WHEN ic.pos = r.pos + 19 THEN ins_len ELSE 0 END AS has FROM reads r JOIN ic ON r.tid = ic.tid AND r.pos <= ic.pos AND r.pos + ref_len >= ic.pos + 2)

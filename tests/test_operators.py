@@ -291,6 +291,6 @@ def test_variant_helpers(spark):
 
 def test_haplotypes_need_spanning_reads(spark):
     a = pileup.spans(alignments(spark, [(1, 0, 0, "6M", "ACGTAC"), (2, 0, 0, "6M", "ACTTAC"), (3, 0, 0, "6M", "ACGTAC"), (4, 0, 3, "3M", "TTT")]).withColumn("mapq", F.lit(60)))
-    h = consensus.region_haplotypes(pileup.walk(a), a, intervals(spark, [(0, 2, 5)]))
+    h = consensus.region_haplotypes(a, intervals(spark, [(0, 2, 5)]))
     assert rows(h.select("hap", "num")) == [("GTA", 2), ("TTA", 1)]
     assert consensus.best_haplotypes(h).collect()[0].hap == "GTA"
