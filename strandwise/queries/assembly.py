@@ -45,19 +45,19 @@ def minimizers(spark, d):
     return seeds.minimizers(lens.contigs(spark, d), 15, 10)
 
 
-_CUT = """n AS (SELECT hash, count(*) AS n FROM mz GROUP BY hash), hist AS (SELECT n, count(*) AS hashes FROM n GROUP BY n), run AS (SELECT n, sum(hashes) OVER (ORDER BY n DESC) AS r, sum(hashes) OVER () AS a FROM hist), cut AS (SELECT max(n) AS cut FROM run WHERE r > a * 0.02),
+_CUT = """n AS (SELECT hash, count(*) AS n FROM mz GROUP BY hash), hist AS (SELECT n, count(*) AS hashes FROM n GROUP BY n), run AS (SELECT n, sum(hashes) OVER (ORDER BY n DESC) AS r, sum(hashes) OVER () AS a FROM hist), cut AS (SELECT max(n) AS cut FROM run WHERE r > a * 0.0002),
     ok AS (SELECT * FROM mz WHERE hash IN (SELECT hash FROM n WHERE n <= (SELECT cut FROM cut)))"""
 
 
 @query(f"WITH {CONTIGS}, {_MINIMIZERS}, {_CUT} SELECT tid, count(*) AS n, sum(hash)::BIGINT AS hashes FROM ok GROUP BY tid")
 def seed_occurrence_cut(spark, d):
-    kept = seeds.occurrence_cut(seeds.minimizers(lens.contigs(spark, d), 15, 10), 0.02)
+    kept = seeds.occurrence_cut(seeds.minimizers(lens.contigs(spark, d), 15, 10))
     return kept.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.sum("hash").cast("long").alias("hashes"))
 
 
 @query(f"WITH {CONTIGS}, {_MINIMIZERS}, {_CUT}, j AS (SELECT q.tid AS qid, r.tid AS tid, r.i - q.i AS diag FROM ok q JOIN ok r ON q.hash = r.hash AND q.tid < r.tid) SELECT qid, tid, count(*) AS hits, min(diag) AS low, max(diag) AS high FROM j GROUP BY ALL")
 def seed_join(spark, d):
-    kept = seeds.occurrence_cut(seeds.minimizers(lens.contigs(spark, d), 15, 10), 0.02)
+    kept = seeds.occurrence_cut(seeds.minimizers(lens.contigs(spark, d), 15, 10))
     diag = F.col("rpos") - F.col("qpos")
     return seeds.seed_join(kept, kept, same=True).groupBy("qid", "tid").agg(F.count(F.lit(1)).alias("hits"), F.min(diag).alias("low"), F.max(diag).alias("high"))
 
@@ -66,23 +66,23 @@ def seed_join(spark, d):
     g AS (SELECT *, sum(nw) OVER (PARTITION BY qid, tid, b ORDER BY rpos, qpos ROWS UNBOUNDED PRECEDING) AS c FROM (SELECT *, CASE WHEN rpos - lag(rpos) OVER (PARTITION BY qid, tid, b ORDER BY rpos, qpos) <= 5000 THEN 0 ELSE 1 END AS nw FROM j))
     SELECT qid, tid, min(qpos) AS qbeg, max(qpos) AS qend, min(rpos) AS rbeg, max(rpos) AS rend, count(*) AS n FROM g GROUP BY qid, tid, b, c""")
 def greedy_chains(spark, d):
-    kept = seeds.occurrence_cut(seeds.minimizers(lens.contigs(spark, d), 15, 10), 0.02)
+    kept = seeds.occurrence_cut(seeds.minimizers(lens.contigs(spark, d), 15, 10))
     return seeds.diagonal_chains(seeds.seed_join(kept, kept, same=True))
 
 
 @query()
 def chain_dp(spark, d):
-    kept = seeds.occurrence_cut(seeds.minimizers(lens.contigs(spark, d), 15, 10), 0.02)
+    kept = seeds.occurrence_cut(seeds.minimizers(lens.contigs(spark, d), 15, 10))
     return seeds.chains(seeds.seed_join(kept, kept, same=True), 15, 30.0)
 
 
 @query()
 def extension(spark, d):
-    """Base alignment of the read of each unclipped record with its stretch of the reference."""
-    reads = _reads(spark, d).filter("clip = 0")
+    """Base alignment of the read of each record, without what its CIGAR clips, with its stretch of the reference."""
+    reads = _reads(spark, d)
     letter = lambda k: sq.base_of(lens.ref_base(F.col("tid"), F.col("pos") + k), "ACGT")
     target = F.array_join(F.transform(F.sequence(F.lit(0), F.col("ref_len").cast("int") - 1), letter), "")
-    return seeds.align_pairs(reads.select("rid", F.col("seq").alias("query"), target.alias("target"))).select("rid", "score", "cigar")
+    return seeds.align_pairs(reads.select("rid", F.substring(F.col("seq"), F.col("clip").cast("int") + 1, F.length("seq")).alias("query"), target.alias("target"))).select("rid", "score", "cigar")
 
 
 @query(f"""WITH {CONTIGS}, c AS (SELECT tid % 20 AS region, tid AS cid, upper(seq) AS s FROM contigs), p AS (SELECT region, cid, substr(s, 1, 40) AS t FROM c UNION ALL SELECT region, cid, CASE WHEN length(s) > 40 THEN right(s, 40) ELSE '' END FROM c),
@@ -163,9 +163,9 @@ def observation_limit(spark, d):
     return consensus.limited_observations(reads, ["tid"])
 
 
-@query(f"""WITH {CONTIGS}, c AS (SELECT tid % 20 AS region, substr(upper(seq), 1, 6) AS seq FROM contigs), n AS (SELECT region, seq, count(*) AS n FROM c GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, length(seq) DESC, seq) = 1""")
+@query(f"""WITH {CONTIGS}, c AS (SELECT tid % 20 AS region, upper(seq) AS seq FROM contigs), n AS (SELECT region, seq, count(*) AS n FROM c GROUP BY ALL) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, length(seq) DESC, seq) = 1""")
 def identical_vote(spark, d):
-    return consensus.identical_vote(lens.contigs(spark, d).select((F.col("tid") % 20).alias("region"), F.substring(F.upper("seq"), 1, 6).alias("seq")))
+    return consensus.identical_vote(lens.contigs(spark, d).select((F.col("tid") % 20).alias("region"), F.upper("seq").alias("seq")))
 
 
 @query(f"""WITH {CONTIGS}, c AS (SELECT tid % 50 AS region, tid AS cid, seq, len, (tid * 7919) % 101 + 20 AS score FROM contigs), x AS (SELECT *, quantile_cont(len, 0.5) OVER (PARTITION BY region) AS med, max(score) OVER (PARTITION BY region) AS top, lag(len) OVER (PARTITION BY region ORDER BY len, cid) AS less, lag(score) OVER (PARTITION BY region ORDER BY score DESC, cid) AS prev FROM c),
@@ -206,10 +206,12 @@ def msa_best_path(spark, d):
 
 @query()
 def poa_consensus(spark, d):
-    """Short contigs in groups of up to six, aligned to one graph each."""
-    c = lens.contigs(spark, d).filter("len > 0").select((F.col("tid") % 100).alias("region"), F.substring(F.upper("seq"), 1, 60).alias("s"), "tid")
-    groups = c.groupBy("region").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("tid", "s"))), lambda x: x["s"]), 1, 6).alias("seqs"))
-    return consensus.poa_consensus(groups).select("region", "consensus")
+    """Contigs in groups of six neighbours, each cut into windows of 16 bases; the windows with one number are aligned to
+    one graph."""
+    c = lens.contigs(spark, d).filter("len > 0").select("tid", F.upper("seq").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / 16))).alias("win"))
+    parts = c.select(F.floor(F.col("tid") / 6).alias("region"), "win", "tid", F.substring(F.col("s"), (F.col("win") * 16 + 1).cast("int"), F.lit(16)).alias("s"))
+    groups = parts.groupBy("region", "win").agg(F.transform(F.array_sort(F.collect_list(F.struct("tid", "s"))), lambda x: x["s"]).alias("seqs"))
+    return consensus.poa_consensus(groups).select("region", "win", "consensus")
 
 
 @query()
