@@ -169,7 +169,9 @@ def cut_contigs(spark, d):
     return splits.cut_contigs(c, points).select("tid", "contig", F.length("seq").cast("long").alias("n"), F.md5(F.col("seq").cast("binary")).alias("md5"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ALN}, dp AS (SELECT tid, count(*) AS depth FROM aln GROUP BY tid, pos), ct AS (SELECT tid, depth, count(*) AS c FROM dp GROUP BY ALL), r(tid, i, mean, go) AS (SELECT DISTINCT tid, 0, 3::BIGINT, true FROM ct UNION ALL
+    SELECT tid, i + 1, m, m > mean FROM (SELECT r.tid, r.i, r.mean, coalesce((sum(depth * c) FILTER (depth < r.mean * 3) // nullif(sum(c) FILTER (depth < r.mean * 3), 0)), 0)::BIGINT AS m FROM r JOIN ct ON ct.tid = r.tid WHERE r.go AND r.i < 40 GROUP BY r.tid, r.i, r.mean))
+    SELECT tid, mean FROM r QUALIFY row_number() OVER (PARTITION BY tid ORDER BY i DESC) = 1""")
 def clipped_depth_mean(spark, d):
     return splits.clipped_mean(_aln(spark, d).groupBy("tid", "pos").agg(F.count(F.lit(1)).alias("depth")), start=3)
 
