@@ -11,33 +11,37 @@ def genome_size(contigs: DataFrame) -> DataFrame:
     return contigs.agg(F.count(F.lit(1)).alias("contigs"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("total"))
 
 
-def running_total(counts: DataFrame, key: str, value: str, total: str, descending: bool = True) -> DataFrame:
-    """counts(key, value), keys distinct -> with the running sum in the order of the keys.
+def running_totals(counts: DataFrame, key: str, totals: dict[str, str], descending: bool = True) -> DataFrame:
+    """counts(key, values), keys distinct -> with the running sum of each value (totals: value -> its column's name) in
+    the order of the keys, and the sum of all as all_<name>.
 
     Distinct keys are few next to rows; still no single task sees them all: sums of key ranges are added up first, and
     each range's rows then start from the sum of those before. Ranges are powers of two of the key's size."""
     k = F.col(key)
     wide = counts.withColumn("_range", F.when(k <= 0, F.lit(0)).otherwise(F.floor(F.log2(k.cast("double")) * 64).cast("int")))
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    sums = wide.groupBy("_range").agg(F.sum(value).alias("_sum"))  # 64 ranges for each doubling
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("_range", before.alias("_before"))
-    own = F.sum(value).over(Window.partitionBy("_range").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, 0))
-    return wide.withColumn("_own", own).join(F.broadcast(starts), "_range").withColumn(total, F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
+    sums = wide.groupBy("_range").agg(*[F.sum(v).alias(f"_sum_{v}") for v in totals])  # 64 ranges for each doubling
+    past = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_range", *[F.coalesce(F.sum(f"_sum_{v}").over(past), F.lit(0)).alias(f"_before_{v}") for v in totals], *[F.sum(f"_sum_{v}").over(Window.partitionBy()).alias(f"all_{t}") for v, t in totals.items()])
+    own = Window.partitionBy("_range").orderBy(order(key)).rowsBetween(Window.unboundedPreceding, 0)
+    run = wide.select("*", *[F.sum(v).over(own).alias(f"_own_{v}") for v in totals]).join(F.broadcast(starts), "_range")
+    return run.select(*counts.columns, *[(F.col(f"_own_{v}") + F.col(f"_before_{v}")).alias(t) for v, t in totals.items()], *[f"all_{t}" for t in totals.values()])
+
+
+def running_total(counts: DataFrame, key: str, value: str, total: str, descending: bool = True) -> DataFrame:
+    return running_totals(counts, key, {value: total}, descending).drop(f"all_{total}")
 
 
 def n_stats(contigs: DataFrame) -> DataFrame:
     """contigs(len) -> k, length, rank for k = 10 ... 90: the first length, from the longest, whose running sum reaches
-    k per cent of the total. Equal lengths are one row, so what is ordered is small."""
+    k per cent of the total. Equal lengths are one row, so what is ordered is small; both sums come from one pass."""
     counts = contigs.filter("len > 0").groupBy("len").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bases"))
-    reach = running_total(running_total(counts, "len", "bases", "through"), "len", "n", "rows")
-    total = contigs.agg(F.sum("len").alias("total"))
+    reach = running_totals(counts, "len", {"bases": "through", "n": "rows"})
     ks = F.explode(F.array(*[F.lit(k) for k in range(1, 10)])).alias("k")
-    need = total.select("total", ks).select((F.col("k") * 10).alias("k"), (F.col("total") * F.col("k") / 10).alias("need"))
-    hit = reach.join(F.broadcast(need), F.col("through") >= F.col("need"))
-    best = hit.groupBy("k", "need").agg(F.max(F.struct("len", "rows", "n", "through")).alias("b"))
+    each = reach.select("*", ks).withColumn("need", F.col("all_through") * F.col("k") / 10)
+    best = each.filter(F.col("through") >= F.col("need")).groupBy("k", "need").agg(F.max(F.struct("len", "rows", "n", "through")).alias("b"))
     rank = F.col("b.rows") - F.col("b.n") + F.greatest(F.lit(1), F.ceil((F.col("need") - (F.col("b.through") - F.col("b.len") * F.col("b.n"))) / F.col("b.len")))
-    return best.select(F.col("k").cast("int").alias("k"), F.col("b.len").alias("length"), rank.cast("long").alias("rank"))
+    return best.select((F.col("k") * 10).cast("int").alias("k"), F.col("b.len").alias("length"), rank.cast("long").alias("rank"))
 
 
 def assembly_summary(contigs: DataFrame) -> DataFrame:
