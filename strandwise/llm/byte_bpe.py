@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from strandwise.llm.common import materialise, small_batches
+from strandwise.llm.common import materialise, packed, small_batches, unpacked
 
-LONG, OVERLAP = 8192, 256
+LONG, OVERLAP = 16384, 256
 #: A contraction is the longest that a pattern looks ahead; ends closer to a chunk's end aren't trusted.
 TAIL = 4
 #: Pieces that a worker remembers, and their length at most.
@@ -38,16 +38,45 @@ def pattern(text: str):
     return regex.compile(text, regex.V0 | regex.UNICODE)
 
 
+#: What the pattern's classes are within ASCII, in brackets of the pattern and by themselves.
+_ASCII = {r"\s": (r"\t-\r ", r"[\t-\r ]"), r"\S": (None, r"[^\t-\r ]"), r"\p{L}": ("A-Za-z", "[A-Za-z]"), r"\p{N}": ("0-9", "[0-9]")}
+
+
+def ascii_pattern(text: str):
+    """The pattern for texts that are ASCII only, for the faster standard engine; None if it has other escapes."""
+    import re
+
+    out, at, inside = [], 0, False
+    while at < len(text):
+        found = next((k for k in _ASCII if text.startswith(k, at)), None)
+        if found:
+            out.append(_ASCII[found][0 if inside else 1])
+        elif text[at] == "\\" or text.startswith("(?i", at):
+            return None
+        else:
+            inside = text[at] == "[" or inside and text[at] != "]"
+            out.append(text[at])
+        if out[-1] is None:
+            return None
+        at += len(found or " ")
+    compiled = re.compile("".join(out))
+    return None if compiled.groups else compiled
+
+
 class _Known(dict):
-    """Ids of the pieces that were met, worked out when a piece is asked for first."""
+    """Ids of the pieces that were met, worked out when a piece is asked for first. Once it is full it becomes the older
+    half, whose pieces come back when they are met again."""
 
     def __init__(self, merge):
-        self.merge = merge
+        self.merge, self.older = merge, {}
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = self.merge(piece.encode("utf-8", "replace"))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.merge(piece.encode("utf-8", "replace"))
         if len(piece) <= MEMORABLE:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -57,8 +86,9 @@ class Encoder:
     """Ranks and the pre-token pattern; encodes pieces and decodes ids."""
 
     def __init__(self, ranks: dict[bytes, int], pat: str):
-        self.ranks, self.find = ranks, pattern(pat)
+        self.ranks, self.find, self.ascii = ranks, pattern(pat), ascii_pattern(pat)
         self.bytes = {v: k for k, v in ranks.items()}
+        self.decimal = {v: str(v) for v in self.bytes}
         self.known = _Known(self.merge)
 
     @classmethod
@@ -119,6 +149,8 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of text, which cover it."""
+        if self.ascii and text.isascii():
+            return self.ascii.findall(text)
         return [m.group() for m in self.find.finditer(text)] if self.find.groups else self.find.findall(text)
 
     def encode(self, text: str) -> list[int]:
@@ -198,7 +230,7 @@ class Digests:
 
     def add(self, ids: list[int]) -> None:
         if ids:
-            self.ids.update(((" " if self.n else "") + " ".join(map(str, ids))).encode())
+            self.ids.update(((" " if self.n else "") + " ".join(map(self.encoder.decimal.__getitem__, ids))).encode())
             self.decoded.update(self.encoder.decode(ids))
             self.n += len(ids)
 
@@ -254,7 +286,6 @@ def token_ids(docs: DataFrame, kind, path: str | None = None, pat: str | None =
     short = rows.filter(F.length("text") <= long).mapInArrow(whole("doc_id"), f"doc_id bigint, {kind.schema}")
     # Longer texts: a row for each chunk; equal texts once.
     lengthy = rows.filter(F.length("text") > long).withColumn("key", F.sha2("text", 256))
-    texts = lengthy.select("key", "text").distinct()
 
     def deal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
@@ -268,7 +299,7 @@ def token_ids(docs: DataFrame, kind, path: str | None = None, pat: str | None =
         encoder = _encoder(path, pat)
         for b in frames:
             told = [encode_chunk(encoder, t, size, overlap, last) for t, last in zip(b.column("part").to_pylist(), b.column("last").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), *(pa.array([np.ascontiguousarray(x[j]).tobytes() for x in told], pa.binary()) for j in range(3))], names=["key", "k", "ids", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), *(pa.array([packed(x[j].ravel()) for x in told], pa.binary()) for j in range(3))], names=["key", "k", "ids", "head", "tail"])
 
     def stitched(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks come sorted by text and number. A text without a common end in some overlap: nulls."""
@@ -285,19 +316,21 @@ def token_ids(docs: DataFrame, kind, path: str | None = None, pat: str | None =
                     if now is not None:
                         yield out()
                     now, sink, joint = key, kind(encoder), Stitcher()
-                ids, head, tail = (np.frombuffer(x, dtype=np.int32) for x in parts)
+                ids, head, tail = (unpacked(x, np.int32) for x in parts)
                 sink.add(joint.add(ids, head.reshape(-1, 2), tail.reshape(-1, 2)).tolist())
         if now is not None:
             yield out()
 
-    dealt = texts.mapInArrow(deal, "key string, k int, part string, last boolean").repartition("key", "k")
+    # Equal texts' chunks merge where they are made and where they arrive: their rows cross the network once.
+    dealt = lengthy.select("key", "text").mapInArrow(deal, "key string, k int, part string, last boolean").groupBy("key", "k", "last", "part").agg(F.count(F.lit(1)).alias("n"))
     pieces = dealt.mapInArrow(chunks, "key string, k int, ids binary, head binary, tail binary")
     schema = f"key string, {kind.schema}"
     told = materialise(pieces.repartition("key").sortWithinPartitions("key", "k").mapInArrow(stitched, schema), "bpe-long")
     fine = told.filter(F.col(names[0]).isNotNull())
     broken = told.filter(F.col(names[0]).isNull()).select("key")
     if not broken.isEmpty():  # a piece of more than an overlap: these texts are encoded in one go
-        fine = fine.unionByName(texts.join(broken, "key", "left_semi").mapInArrow(whole("key"), schema))
+        some = lengthy.join(materialise(broken, "bpe-broken"), "key", "left_semi").select("key", "text").distinct()
+        fine = fine.unionByName(some.mapInArrow(whole("key"), schema))
     return short.unionByName(lengthy.select("doc_id", "key").join(fine, "key").select("doc_id", *names))
 
 

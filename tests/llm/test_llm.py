@@ -279,6 +279,11 @@ def test_byte_bpe_chunks_and_merges():
             joined += 1
             assert got == want
     assert joined > 50
+    alike = [chr(c) for c in range(128)]
+    for _ in range(300):
+        s = "".join(r.choice(alike + list(" 's abc12")) for _ in range(60))
+        assert e.ascii.findall(s) == e.find.findall(s)
+    assert b.ascii_pattern(r"(?i:a)|\\w+") is None and b.ascii_pattern(r"[\\S]") is None
     for p in (b"a" * 500, bytes(range(256)) * 2, "ab" * 300):
         p = p if isinstance(p, bytes) else p.encode()
         assert b"".join(e.bytes[i] for i in e.merge(p)) == p
