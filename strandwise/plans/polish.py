@@ -106,5 +106,7 @@ def _checkpoint(df: DataFrame, _: str) -> DataFrame:
 
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not (context.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp())
     return df.checkpoint()

@@ -95,6 +95,79 @@ def test_deleted_low_site_passes_its_case_on(spark):
     assert rows(got) == [(1, "AcGt", 4)]
 
 
+def test_case_is_carried_across_a_chunk_that_prints_nothing(spark):
+    schema = "tid bigint, pos bigint, ins int, base string, low boolean"
+    for low, want in ((True, "Ac"), (False, "AC")):
+        s = [(1, 0, 0, "A", False), (1, 1, 0, "-", low), *[(1, p, 0, "-", False) for p in range(4096, 8192, 512)], (1, 8192, 0, "C", False)]
+        assert rows(pileup.consensus_strings(spark.createDataFrame(s, schema))) == [(1, want, 2)]
+    s = [(1, 0, 0, "A", False), (1, 4096, 0, "-", True), (1, 8192, 0, "-", False), (1, 12288, 0, "G", False)]
+    assert rows(pileup.consensus_strings(spark.createDataFrame(s, schema))) == [(1, "Ag", 2)]
+
+
+def test_columns_of_a_read_are_those_of_the_walk(spark):
+    a = alignments(spark, [(1, 0, 10, "1S3M1I2M1D2M", "NACGTTTAA"), (2, 0, 11, "4M", "CGTT"), (3, 1, 0, "2M2N3M2I", "ACGTACG")])
+    walked = sorted((x.rid, x.tid, x.pos, x.ins, x.base) for x in pileup.walk(a).collect())
+    cells = sorted((x.rid, x.tid, x.pos, x.ins, x.base) for x in pileup.read_positional_kmers(a).collect())
+    assert cells == walked
+    want = {}
+    for rid in (1, 2, 3):
+        shown = [x for x in walked if x[0] == rid]
+        for k, x in enumerate(shown):
+            want[x[:4]] = "".join([".", ".", *[y[4] for y in shown]][k : k + 3])
+    assert {(x.rid, x.tid, x.pos, x.ins): x.kmer for x in pileup.read_kmers(a).collect()} == want
+    assert rows(pileup.read_insertions(a)) == rows(pileup.insertion_columns(pileup.walk(a)))
+
+
+def test_snp_links_read_off_the_cigar(spark):
+    a = pileup.spans(alignments(spark, [(1, 0, 1020, "4M2D4M", "ACGTACGT"), (2, 0, 1021, "8M", "CGTTTACG")]).withColumn("mapq", F.lit(60)))
+    walked = {(x.rid, x.pos): x.base for x in pileup.walk(a).filter("ins = 0").collect()}
+    sites = [1022, 1023, 1024, 1027]
+    snps = spark.createDataFrame([(0, p, walked.get((1, p), "-"), walked.get((2, p), "-")) for p in sites], "tid bigint, pos bigint, first string, second string")
+    got = {(x.prev_pos, x.pos, x.prev_allele, x.allele): x.num for x in consensus.snp_links(a, snps, width=1024).collect()}
+    want = {}
+    for rid in (1, 2):
+        shown = [(p, 0 if walked[rid, p] == walked[1, p] else 1) for p in sites if (rid, p) in walked]
+        for (p, x), (q, y) in itertools.pairwise(shown):
+            want[p, q, x, y] = want.get((p, q, x, y), 0) + 1
+    assert got == want
+
+
+def test_semi_join_keeps_equal_rows_apart_from_others(spark):
+    left = spark.createDataFrame([(1, 0, 9000, "a"), (1, 0, 9000, "a"), (1, 0, 9000, None), (1, 50, 60, "b"), (2, 0, 5, "c")], "tid bigint, beg bigint, end bigint, name string")
+    right = intervals(spark, [(1, 8000, 8100)])
+    got = ranges.overlap_join(left, right, how="left_semi")
+    assert sorted((x.beg, x.name or "") for x in got.collect()) == [(0, ""), (0, "a"), (0, "a")]
+    assert sorted(x.name for x in ranges.overlap_join(left, right, how="left_anti").collect()) == ["b", "c"]
+
+
+def test_chain_against_a_plain_loop():
+    import math
+
+    r = random.Random(21)
+    for _ in range(60):
+        hits = sorted({(r.randrange(400), r.randrange(400)) for _ in range(r.randrange(1, 40))})
+        q, t = [b for _, b in hits], [a for a, _ in hits]
+        score = [15.0] * len(hits)
+        for i in range(len(hits)):
+            for j in range(i):
+                dq, dr = q[i] - q[j], t[i] - t[j]
+                d = abs(dq - dr)
+                if 0 < dq <= 100 and 0 < dr <= 100 and d <= 50:
+                    score[i] = max(score[i], score[j] + min(dq, dr, 15) - (0.15 * d + 0.5 * math.log2(d) if d else 0))
+        got, members = seeds.best_chain(q, t, 15, 100, 50)
+        assert abs(got - max(score)) < 1e-9 and members == sorted(members)
+
+
+def test_placeholders_and_order(spark):
+    from strandwise.operators import candidates
+
+    c = spark.createDataFrame([(1, 5, 2, "ACGTA"), (1, 7, 0, "AC"), (2, 9, 1, "")], "region bigint, cid bigint, order int, seq string")
+    assert rows(candidates.reference_first(c).select("cid", "slot")) == [(5, 1), (7, 0), (9, 0)]
+    aln = spark.createDataFrame([(1, 7, "AC")], "region bigint, cid bigint, aln string")
+    assert rows(candidates.with_placeholders(c, aln)) == [(1, 5, "MMMMM"), (1, 7, "AC---"), (2, 9, "")]
+    assert rows(candidates.shortest_candidate(c)) == [(1, 2), (2, 0)]
+
+
 def test_duplicates_survivors(spark):
     cols = "rid bigint, qname string, flag int, tid bigint, pos bigint, score bigint, c string"
     xs = [(1, "b", 65, 1, 100, 10, "10M"), (2, "b", 145, 1, 200, 10, "10M"), (3, "a", 65, 1, 105, 10, "5S5M"), (4, "a", 145, 1, 200, 10, "10M"), (5, "s", 0, 1, 100, 99, "10M"), (6, "t", 0, 1, 300, 5, "10M"), (7, "u", 0, 1, 300, 9, "10M")]
