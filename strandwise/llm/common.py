@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     its own; a cluster gets an error, as a folder of one machine would lose rows there."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"strandwise-{os.getpid()}")
     return found.rstrip("/")

@@ -22,6 +22,8 @@ apart by 64-bit hashes. The driver holds a few numbers for each bucket.
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import discard, fold, materialise, small_batches
+from strandwise.llm.common import fold, packed, shared_dir, small_batches, unpacked
 from strandwise.llm.words import batches, hashed, mix
 
 #: Bytes of text in a chunk.
@@ -44,7 +46,7 @@ END = 0xE7D0_0000_0000_0001
 #: What the steps send each other: dest has the rows that it gets sorted by kind and src.
 _NAMES = ["deal", "dest", "kind", "src", "a", "b", "c", "d"]
 _SCHEMA = "deal bigint, dest bigint, kind int, src bigint, a binary, b binary, c binary, d binary"
-_WORDS, _CHUNK, _ANSWER, _PAIRS, _SINGLE, _ACTIVE, _SUMS, _TABLES, _SAMPLE, _FOUND, _TOLD, _SUMMARY = range(12)
+_WORDS, _CHUNK, _ANSWER, _PAIRS, _COUNTS, _PLACES, _ACTIVE, _BASE, _SUMS, _TABLES, _SAMPLE, _FOUND, _TOLD, _SUMMARY = range(14)
 Row = tuple[int, int, int, int, bytes | None, bytes | None, bytes | None, bytes | None]
 
 
@@ -58,18 +60,6 @@ def lower(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: A-Z only
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Bytes of integers, those of equal weight together, so that the many zeros compress well."""
-    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
-
-
-def unpacked(b: bytes, kind) -> np.ndarray:
-    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
-    raw = pa.decompress(memoryview(b)[8:], n, codec="zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def rising(x: np.ndarray) -> bytes:
     """Integers in rising order, by their steps."""
     return packed(np.diff(x, prepend=x.dtype.type(0)))
@@ -79,6 +69,38 @@ def risen(b: bytes, kind=np.int64) -> np.ndarray:
     return np.cumsum(unpacked(b, kind), dtype=kind)
 
 
+class _Table:
+    """What a step sent, written to the shared folder by kind, so that each kind can go when nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        self.path = f"{shared_dir(self.spark)}/strandwise/{name}-{uuid.uuid4().hex}"
+        df.write.partitionBy("kind").parquet(self.path)
+
+    def _folder(self, kind: int):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/kind={kind}")
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def of(self, kind: int) -> DataFrame:
+        folder, files = self._folder(kind)
+        if not files.exists(folder):
+            return self.spark.createDataFrame([], _SCHEMA)
+        schema = ", ".join(x for x in _SCHEMA.split(", ") if not x.startswith("kind "))
+        return self.spark.read.schema(schema).parquet(str(folder)).withColumn("kind", F.lit(kind)).select(*_NAMES)
+
+    def summary(self) -> list[tuple[int, np.ndarray]]:
+        """A few numbers from each dest."""
+        return [(r["src"], unpacked(bytes(r["a"]), np.int64)) for r in self.of(_SUMMARY).select("src", "a").collect()]
+
+    def drop(self, *kinds: int) -> None:
+        """Deletes these kinds, and lets Spark delete the shuffles of plans that are gone."""
+        for kind in kinds:
+            folder, files = self._folder(kind)
+            files.delete(folder, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def _records(rows: Iterable[Row]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
     wait: list[Row] = []
@@ -107,11 +129,23 @@ def _groups(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]
         yield now, rows
 
 
+def _give_back() -> None:
+    """Hands freed memory back to the system: Spark keeps a Python worker for later tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _step(sent: DataFrame, parts: int | None, work: Callable[[int, list[tuple]], Iterable[Row]]) -> DataFrame:
     """Each dest's rows through work."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _records(r for dest, rows in _groups(frames) for r in work(dest, rows))
+        _give_back()
 
     dealt = sent.repartition(parts, "deal") if parts else sent.repartition("deal")
     return dealt.sortWithinPartitions("dest", "kind", "src").mapInArrow(run, _SCHEMA)
@@ -173,6 +207,8 @@ def read_chunks(docs: DataFrame, keys: list[int], chunk_bytes: int) -> DataFrame
                     wait, size = [], 0
         if wait:
             yield from _records(chunk())
+        wait.clear()
+        _give_back()
 
     return docs.select("doc_id", "learn", "text").mapInArrow(run, _SCHEMA)
 
@@ -269,7 +305,7 @@ def parent(customers: np.ndarray, tables: np.ndarray, root: dict) -> np.ndarray:
     return (customers - root["d"] * tables + root["new"]) / (STRENGTH + root["customers"])
 
 
-def _sums(u: np.ndarray, w: np.ndarray, t: np.ndarray, offsets: np.ndarray, keys: list[int], shard: int) -> Iterator[Row]:
+def _sums(kind: int, u: np.ndarray, w: np.ndarray, t: np.ndarray, offsets: np.ndarray, keys: list[int], shard: int) -> Iterator[Row]:
     """Tables by context and by dish, to the buckets of these words."""
     parts: dict[int, list] = {}
     for role, x in enumerate((u, w)):
@@ -278,7 +314,23 @@ def _sums(u: np.ndarray, w: np.ndarray, t: np.ndarray, offsets: np.ndarray, keys
         for j, s in _cuts(np.searchsorted(offsets, ids, side="right") - 1, len(keys)):
             parts.setdefault(j, [np.zeros(0, np.int64)] * 4)[2 * role : 2 * role + 2] = ids[s] - offsets[j], n[s]
     for j, (iu, nu, iw, nw) in parts.items():
-        yield keys[j], j, _SUMS, shard, rising(iu), packed(nu), rising(iw), packed(nw)
+        yield keys[j], j, kind, shard, rising(iu), packed(nu), rising(iw), packed(nw)
+
+
+def _add(rows: list[tuple], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of each of a bucket's words as a context, and as a dish: what the shards told, added up."""
+    opens, customers = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    for _, _, *x in rows:
+        opens[risen(x[0])] += unpacked(x[1], np.int64)
+        customers[risen(x[2])] += unpacked(x[3], np.int64)
+    return opens, customers
+
+
+def _added(kind: int, key: int, bucket: int, rows: list[tuple], size: int) -> Row:
+    """The same as one row."""
+    both = _add(rows, size)
+    at = [np.flatnonzero(x) for x in both]
+    return key, bucket, kind, bucket, rising(at[0]), packed(both[0][at[0]]), rising(at[1]), packed(both[1][at[1]])
 
 
 def _unique_pairs(us: list[np.ndarray], ws: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,66 +353,69 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, burn_in: int = BURN_I
     keys = _keys(spark, n)
     held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held).alias("learn"))
-    read = materialise(read_chunks(given, keys, chunk_bytes), "lm-chunks")
-    answers = materialise(_step(read.filter(F.col("kind") == _WORDS), n, number_words), "lm-words")
-    told = {r["src"]: unpacked(bytes(r["a"]), np.int64) for r in answers.filter(F.col("kind") == _SUMMARY).select("src", "a").collect()}
+    read = _Table(read_chunks(given, keys, chunk_bytes), "lm-chunks")
+    words = _Table(_step(read.of(_WORDS), n, number_words), "lm-words")
+    read.drop(_WORDS)
+    told = dict(words.summary())
     sizes = np.array([told[j][0] if j in told else 0 for j in range(n)])
     offsets = np.cumsum(sizes) - sizes
     n_words, n_all = (int(sum(x[k] for x in told.values())) for k in (1, 2))
-    chunks = read.filter(F.col("kind") == _CHUNK).unionByName(answers.filter(F.col("kind") == _ANSWER))
+    chunks = read.of(_CHUNK).unionByName(words.of(_ANSWER))
 
     def send_pairs(chunk: int, rows: list[tuple]) -> Iterator[Row]:
         owner, u, w, seen, _ = _Chunk(rows, offsets).pairs(n)
         for j, s in _cuts(owner, n):
             yield keys[j], j, _PAIRS, chunk, rising(u[s]), packed(w[s]), packed(seen[s]), None
 
-    asked = materialise(_step(chunks, None, send_pairs), "lm-pairs")
+    pairs = _Table(_step(chunks, None, send_pairs), "lm-pairs")
 
     def seat(shard: int, rows: list[tuple]) -> Iterator[Row]:
+        """The shard's pairs in order, unlearnt ones too: their counts, where each chunk's are among them, and those with
+        several customers as cells to be seated. The others' tables are known, and only added up."""
         u, w, at = _unique_pairs([risen(r[2]) for r in rows], [unpacked(r[3], np.int64) for r in rows])
-        c = np.bincount(at, weights=np.concatenate([unpacked(r[4], np.int64) for r in rows]), minlength=len(u)).astype(np.int64)
+        times = [unpacked(r[4], np.int64) for r in rows]
+        c = np.bincount(at, weights=np.concatenate(times), minlength=len(u)).astype(np.int64)
         one, more = c == 1, c > 1
-        yield keys[shard], shard, _SINGLE, shard, rising(u[one]), packed(w[one]), None, None
+        yield keys[shard], shard, _COUNTS, shard, packed(c), None, None, None
+        end = 0
+        for r, x in zip(rows, times):
+            yield keys[shard], shard, _PLACES, r[1], rising(at[end : end + len(x)].astype(np.int64)), None, None, None
+            end += len(x)
         t = np.ones(int(more.sum()), dtype=np.int64)
         yield keys[shard], shard, _ACTIVE, shard, rising(u[more]), packed(w[more]), packed(c[more]), packed(np.concatenate((t, 0 * t)))
         yield 0, -1, _SUMMARY, shard, packed(np.array([one.sum(), (c == 2).sum()], dtype=np.int64)), None, None, None
-        for r in _sums(u[one], w[one], np.ones(int(one.sum())), offsets, keys, -1 - shard):
-            yield r
-        yield from _sums(u[more], w[more], t, offsets, keys, shard)
-
-    cells = materialise(_step(asked, n, seat), "lm-cells")
-    often = sum((unpacked(bytes(r["a"]), np.int64) for r in cells.filter(F.col("kind") == _SUMMARY).select("a").collect()), np.zeros(2, np.int64))
-    d = discount(*often)
+        yield from _sums(_BASE, u[one], w[one], np.ones(int(one.sum())), offsets, keys, shard)
+        yield from _sums(_SUMS, u[more], w[more], t, offsets, keys, shard)
+
+    cells = _Table(_step(pairs.of(_PAIRS), n, seat), "lm-cells")
+    pairs.drop(_PAIRS)
+    d = discount(*sum((x for _, x in cells.summary()), np.zeros(2, np.int64)))
+    base = _Table(_step(cells.of(_BASE), n, lambda bucket, rows: [_added(_BASE, keys[bucket], bucket, rows, sizes[bucket])]), "lm-base")
+    cells.drop(_BASE)
     root = {"d": 0.5, "tables": n_words}
-    state = cells.filter((F.col("kind") == _ACTIVE) | ((F.col("kind") == _SUMS) & (F.col("src") >= 0)))
-    singles = cells.filter((F.col("kind") == _SUMS) & (F.col("src") < 0))
-    sampled: list[tuple[DataFrame, dict]] = []
+    state = cells
+    sampled: list[tuple[_Table, dict]] = []
     for k in range(burn_in + samples):
-        state, root, kept = _sweep(state, singles, root, d, sizes, offsets, keys, n_words, k, k >= burn_in, k + 1 == burn_in + samples)
-        if kept is not None:
-            sampled.append((kept, root))
+        state, root, told_words = _sweep(state, base, root, d, sizes, offsets, keys, n_words, k, k >= burn_in, k + 1 == burn_in + samples)
+        if k >= burn_in:
+            sampled.append((told_words, root))
 
     def found(shard: int, rows: list[tuple]) -> Iterator[Row]:
-        """Of each pair that a chunk asked for: its customers, less what the discount takes off."""
-        us, ws, less = [], [], []
-        for kind, _, a, b, c, t in rows:
-            if kind in (_SINGLE, _ACTIVE):
-                us.append(risen(a))
-                ws.append(unpacked(b, np.int64))
-                less.append(np.ones(len(us[-1])) - d if kind == _SINGLE else unpacked(c, np.int64) - d * unpacked(t, np.int64)[len(us[-1]) :] / samples)
-        n_cells = sum(map(len, us))
-        asks = [r for r in rows if r[0] == _PAIRS]
-        pairs = [risen(r[2]) for r in asks]
-        _, _, at = _unique_pairs(us + pairs, ws + [unpacked(r[3], np.int64) for r in asks])
-        value = np.zeros(int(at.max()) + 1 if len(at) else 0, dtype=np.float32)
-        value[at[:n_cells]] = np.concatenate(less) if less else 0
-        end = n_cells
-        for r, p in zip(asks, pairs):
-            yield r[1], r[1], _FOUND, shard, packed(value[at[end : end + len(p)]]), None, None, None
-            end += len(p)
-
-    last = cells.filter(F.col("kind") == _SINGLE).unionByName(state.filter(F.col("kind") == _ACTIVE)).unionByName(asked)
-    replies = _step(last, n, found)
+        """Of each pair that a chunk has: its customers, less what the discount takes off."""
+        value = np.zeros(0, dtype=np.float32)
+        for kind, chunk, a, _, _, t in rows:  # counts, then places, then cells: by kind
+            if kind == _COUNTS:
+                c = unpacked(a, np.int64)
+            elif kind == _ACTIVE:
+                less = unpacked(t, np.int64)
+                value = np.where(c > 0, c - d, 0.0)
+                value[c > 1] = c[c > 1] - d * less[len(less) // 2 :] / samples
+                value = value.astype(np.float32)
+        for kind, chunk, a, *_ in rows:
+            if kind == _PLACES:
+                yield chunk, chunk, _FOUND, shard, packed(value[risen(a)]), None, None, None
+
+    replies = _step(cells.of(_COUNTS).unionByName(cells.of(_PLACES)).unionByName(state.of(_ACTIVE)), n, found)
 
     def tell(bucket: int, rows: list[tuple]) -> Iterator[Row]:
         """To each chunk, of its words and each seating: tables, and customers and tables in the root."""
@@ -372,9 +427,9 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, burn_in: int = BURN_I
                 yield chunk, chunk, _TOLD, bucket, packed(np.concatenate([s[:, own].ravel() for s in seats])), None, None, None
 
     deal = F.element_at(F.array(*[F.lit(x) for x in keys]), (F.col("src") + 1).cast("int"))
-    wanted = answers.filter(F.col("kind") == _ANSWER).select(deal.alias("deal"), F.col("src").alias("dest"), "kind", F.col("dest").alias("src"), "a", "b", "c", "d")
-    for kept, _ in sampled:
-        wanted = wanted.unionByName(kept)
+    wanted = words.of(_ANSWER).select(deal.alias("deal"), F.col("src").alias("dest"), "kind", F.col("dest").alias("src"), "a", "b", "c", "d")
+    for told_words, _ in sampled:
+        wanted = wanted.unionByName(told_words.of(_SAMPLE))
     replies = replies.unionByName(_step(wanted, n, tell))
     roots = [r for _, r in sampled]
 
@@ -395,12 +450,14 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, burn_in: int = BURN_I
                 [chunk.doc_id, pa.array(~chunk.learn), pa.array(chunk.length), add((chunk.count > 0)[chunk.token].astype(np.int64)), pa.array(np.full(len(chunk.length), n_all, dtype=np.int64)), add(base[chunk.token]), add(np.log10(p))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
+            del chunk, at, seats, context, p
+        _give_back()
 
     together = chunks.unionByName(replies).repartition("deal").sortWithinPartitions("dest", "kind", "src")
     return together.mapInArrow(scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def _sweep(state: DataFrame, singles: DataFrame, root: dict, d: float, sizes: np.ndarray, offsets: np.ndarray, keys: list[int], n_words: int, k: int, sample: bool, last: bool) -> tuple[DataFrame, dict, DataFrame | None]:
+def _sweep(state: _Table, base: _Table, root: dict, d: float, sizes: np.ndarray, offsets: np.ndarray, keys: list[int], n_words: int, k: int, sample: bool, last: bool) -> tuple[_Table, dict, _Table]:
     """One Gibbs sweep: the root's tables, then, but for the last time, those of all other restaurants.
 
     Gives the new seating, the root's totals, and, for a sample, what the buckets know of each word in the old seating.
@@ -408,11 +465,7 @@ def _sweep(state: DataFrame, singles: DataFrame, root: dict, d: float, sizes: np
     n, was = len(keys), dict(root)
 
     def root_tables(bucket: int, rows: list[tuple]) -> Iterator[Row]:
-        opens, customers = np.zeros(sizes[bucket], dtype=np.int64), np.zeros(sizes[bucket], dtype=np.int64)
-        for _, _, *x in rows:
-            iu, nu, iw, nw = risen(x[0]), unpacked(x[1], np.int64), risen(x[2]), unpacked(x[3], np.int64)
-            opens[iu] += nu
-            customers[iw] += nw
+        opens, customers = _add(rows, sizes[bucket])
         tables = np.zeros(len(opens), dtype=np.int64)
         some = customers > 0
         a = np.full(int(some.sum()), (STRENGTH + was["d"] * max(0, was["tables"] - 1)) / (n_words + 1))
@@ -420,19 +473,18 @@ def _sweep(state: DataFrame, singles: DataFrame, root: dict, d: float, sizes: np
         yield 0, -1, _SUMMARY, bucket, packed(np.array([customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum()], dtype=np.int64)), None, None, None
         if sample:
             yield keys[bucket], bucket, _SAMPLE, k, packed(opens), packed(customers), packed(tables), None
-        for _, shard, *x in rows:
-            if shard >= 0 and not last:
+        for kind, shard, *x in rows:
+            if kind == _SUMS and not last:
                 iu, iw = risen(x[0]), risen(x[2])
-                yield keys[shard], shard, _TABLES, bucket, rising(iu), packed(opens[iu]), rising(iw), packed(np.concatenate((customers[iw], tables[iw])))
+                yield keys[shard], shard, _TABLES, bucket, x[0], packed(opens[iu]), x[2], packed(np.concatenate((customers[iw], tables[iw])))
 
-    sums = state.filter(F.col("kind") == _SUMS).unionByName(singles)
-    told = materialise(_step(sums, n, root_tables), "lm-root")
-    total = sum((unpacked(bytes(r["a"]), np.int64) for r in told.filter(F.col("kind") == _SUMMARY).select("a").collect()), np.zeros(4, np.int64))
+    told = _Table(_step(state.of(_SUMS).unionByName(base.of(_BASE)), n, root_tables), "lm-root")
+    state.drop(_SUMS)
+    total = sum((x for _, x in told.summary()), np.zeros(4, np.int64))
     # This seating's probabilities go with the discount that it was drawn with; the next one's follows from it.
     now = {"d": was["d"], "tables": int(total[1]), "customers": int(total[0])}
     now["new"] = (STRENGTH + now["d"] * now["tables"]) / (n_words + 1)
     following = now | {"d": discount(float(total[2]), float(total[3]))} if not sample else now
-    kept = told.filter(F.col("kind") == _SAMPLE) if sample else None
 
     def reseat(shard: int, rows: list[tuple]) -> Iterator[Row]:
         cells = next((r for r in rows if r[0] == _ACTIVE), None)
@@ -460,14 +512,12 @@ def _sweep(state: DataFrame, singles: DataFrame, root: dict, d: float, sizes: np
             t = draw_tables(c, a, d, np.random.default_rng([k, shard, 2]), more)
         yield keys[shard], shard, _ACTIVE, shard, cells[2], cells[3], cells[4], packed(np.concatenate((t, total_t)))
         if not last:
-            yield from _sums(u, w, t, offsets, keys, shard)
-
-    new = materialise(_step(state.filter(F.col("kind") == _ACTIVE).unionByName(told.filter(F.col("kind") == _TABLES)), n, reseat), "lm-seating")
-    if k:
-        discard(state)
-    if not sample:
-        discard(told)
-    return new, following, kept
+            yield from _sums(_SUMS, u, w, t, offsets, keys, shard)
+
+    new = _Table(_step(state.of(_ACTIVE).unionByName(told.of(_TABLES)), n, reseat), "lm-seating")
+    told.drop(_TABLES)
+    state.drop(_ACTIVE)
+    return new, following, told
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
