@@ -13,11 +13,13 @@ once, given the other cells' tables of the sweep before, as is usual for Gibbs s
 burn-in the predictive probabilities of the following seatings are averaged.
 
 Dealing. A chunk is what one task read, up to CHUNK_BYTES of text. It sends the words that it holds, once each, to the
-buckets that own their hashes, which number them and add up. Pairs of numbers then go to shards by a hash of *both*
-words, so that no restaurant, however large, is one task's burden; what belongs to a word (tables of its restaurant,
-customers and tables of it in the root) is added up by its bucket and told to the shards that asked. Buckets and shards
-are as many as spark.sql.shuffle.partitions. Chunks, counts and seatings are written between the steps. Words are told
-apart by 64-bit hashes. The driver holds a few numbers for each bucket.
+buckets that own their hashes, which number them and add up. Pairs of numbers then go to shards by *both* words, so that
+no restaurant, however large, is one task's burden; what belongs to a word (tables of its restaurant, customers and tables
+of it in the root) is added up by its bucket and told to the shards that asked. The shards are a grid: a context's bucket
+gives the row, a dish's bucket the column. So a bucket and the shards of one row and one column tell each other something,
+and n buckets send some 2 n^1.5 messages a step, not n^2. There are as many buckets as spark.sql.shuffle.partitions, and
+as many shards as make a grid of these. Chunks, counts and seatings are written between the steps. Words are told apart by
+64-bit hashes. The driver holds a few numbers for each bucket.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm.common import fold, packed, shared_dir, small_batches, unpacked
-from strandwise.llm.words import batches, hashed, mix
+from strandwise.llm.words import batches, hashed
 
 #: Bytes of text in a chunk.
 CHUNK_BYTES = 12_000_000
@@ -173,6 +175,18 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)).astype(np.int64)
 
 
+def _grid(n: int) -> tuple[int, int]:
+    """Rows and columns of the shards, n at most."""
+    rows = max(1, int(n**0.5))
+    return rows, n // rows
+
+
+def _shard(context: np.ndarray, dish: np.ndarray, n: int) -> np.ndarray:
+    """Whose a pair is, by the buckets of its words. Those of one row are in different columns."""
+    rows, columns = _grid(n)
+    return context % rows * columns + dish // rows % columns
+
+
 def read_chunks(docs: DataFrame, keys: list[int], chunk_bytes: int) -> DataFrame:
     """docs(doc_id, text, learn) -> the chunks, as places in their own sorted words, and their words to the buckets."""
     n = len(keys)
@@ -238,19 +252,20 @@ class _Chunk:
         answers = [r for r in rows if r[0] == _ANSWER]
         self.place = [(r[1], risen(r[2])) for r in answers]
         self.word = np.concatenate([offsets[j] + p for j, p in self.place])
+        self.bucket = np.repeat([j for j, _ in self.place], [len(p) for _, p in self.place])
         self.count = np.concatenate([unpacked(r[3], np.int64) for r in answers])
         self.begin = np.cumsum(self.length) - self.length
         end = self.token[-1]  # each text's last token is its end
         self.before = np.concatenate(([end], self.token[:-1]))
         self.before[self.begin] = end
 
-    def pairs(self, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Owner, context, word and learnt occurrences of each pair, sorted by these, and which pair each token is."""
         n = len(self.word)
         pair, at = np.unique(self.before * n + self.token, return_inverse=True)
         u, w = self.word[pair // n], self.word[pair % n]
+        owner = _shard(self.bucket[pair // n], self.bucket[pair % n], n_buckets)
         seen = np.bincount(at, weights=np.repeat(self.learn, self.length), minlength=len(pair)).astype(np.int64)
-        owner = (mix(u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((w, u, owner))
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))

@@ -522,6 +522,41 @@ def test_tables_are_drawn_from_their_distribution():
         assert np.abs(p[: len(w)] - w).sum() < 0.06, (c, d, a)
 
 
+def test_language_model_messages_do_not_grow_with_the_square_of_partitions(spark, monkeypatch):
+    from strandwise.llm import language_model as lm
+
+    made, drop = Counter(), lm._Table.drop
+
+    def counted(self, *kinds):
+        made.update({k: self.of(k).count() for k in kinds})
+        drop(self, *kinds)
+
+    monkeypatch.setattr(lm._Table, "drop", counted)
+    r = random.Random(6)
+    xs = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(2000))) for i in range(8)]
+    spark.conf.set("spark.sql.shuffle.partitions", "36")
+    try:
+        got = lm.score(docs(spark, xs), burn_in=1, samples=1).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((x.doc_id, x.n_tokens) for x in got) == [(i, 2001) for i in range(8)]
+    # Each bucket with a row and a column of 6 shards, which share one; 36 * 36 where each tells all.
+    assert 0 < made[lm._BASE] <= 36 * 11 and 0 < made[lm._TABLES] <= 36 * 11 and 0 < made[lm._SUMS] <= 2 * 36 * 11
+
+
+def test_language_model_shards_cover_any_number_of_partitions():
+    from strandwise.llm.language_model import _grid, _shard
+
+    for n in [*range(1, 60), 211]:
+        rows, columns = _grid(n)
+        u, w = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+        owner = _shard(u, w, n)
+        assert set(owner.tolist()) == set(range(rows * columns)) and n - rows < rows * columns <= n
+        of = Counter(x for x, _ in set(zip(u.tolist(), owner.tolist())))
+        assert set(of.values()) == {columns}  # a restaurant is a whole row's
+        assert set(Counter(x for x, _ in set(zip(w.tolist(), owner.tolist()))).values()) == {rows}
+
+
 def gibbs_by_customer(texts, d, sweeps, seed=4):
     """Seats every customer by himself; averaged predictive probabilities of (context, word)."""
     r = random.Random(seed)
