@@ -25,6 +25,8 @@ L1 = 8.0
 EPOCHS = 5
 #: Parts of the labelled rows; the odds that calibrate the model come from models that didn't see the row's part.
 PARTS = 4
+#: The calibration's slope is this at least.
+LEAST_SLOPE = 1e-3
 #: The score of every text where there is nothing to learn from: no labels, or one label only.
 NEUTRAL = 0.25
 #: Labelled rows that the model is fitted on at most; they are chosen by a hash of their id.
@@ -88,25 +90,31 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOC
 
 def calibrate(odds: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and intercept that turn odds of unseen rows into log odds: a logistic fit by damped Newton steps with a
-    small ridge."""
-    x = np.column_stack([odds, np.ones(len(odds))])
-    ridge, start = np.array([1.0, 1e-2]), np.array([1.0, 0.0])
-
-    def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, np.where(labels == 1, -1, 1) * (x @ w)).sum() + ridge @ (w - start) ** 2 / 2)
-
-    w = start
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, x.T @ (p - labels) + ridge * (w - start))
-        size = 1.0
-        while size > 1e-6 and loss(w - size * step) > loss(w):
-            size /= 2
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-9:
-            break
-    return float(max(w[0], 0.1)), float(w[1])
+    small ridge. The slope is LEAST_SLOPE at least, so that higher odds never score lower; where that holds it up, the
+    intercept is fitted to it."""
+
+    def fitted(x: np.ndarray, plus: np.ndarray, ridge: np.ndarray, start: np.ndarray) -> np.ndarray:
+        def loss(w: np.ndarray) -> float:
+            return float(np.logaddexp(0, np.where(labels == 1, -1, 1) * (x @ w + plus)).sum() + ridge @ (w - start) ** 2 / 2)
+
+        w = start
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w + plus, -35, 35)))
+            h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+            step = np.linalg.solve(h, x.T @ (p - labels) + ridge * (w - start))
+            size = 1.0
+            while size > 1e-6 and loss(w - size * step) > loss(w):
+                size /= 2
+            w = w - size * step
+            if np.abs(size * step).max() < 1e-9:
+                break
+        return w
+
+    one, none, ridge, start = np.ones(len(odds)), np.zeros(len(odds)), np.array([1.0, 1e-2]), np.array([1.0, 0.0])
+    slope, shift = fitted(np.column_stack([odds, one]), none, ridge, start)
+    if slope < LEAST_SLOPE:
+        slope, shift = LEAST_SLOPE, fitted(one[:, None], LEAST_SLOPE * odds, ridge[1:], start[1:])[0]
+    return float(slope), float(shift)
 
 
 def train(labelled: DataFrame, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:

@@ -441,6 +441,19 @@ def test_calibration_reaches_its_least_loss():
     assert all(loss(a, b) <= loss(a + x, b + z) for x in (-0.02, 0, 0.02) for z in (-0.1, 0, 0.1))
 
 
+def test_calibration_of_odds_that_tell_nothing_or_the_contrary():
+    from strandwise.llm.toxicity import LEAST_SLOPE, calibrate
+
+    r = np.random.default_rng(4)
+    odds = np.concatenate([r.normal(30, 40, 900), r.normal(-20, 40, 60)])
+    y = np.repeat([0, 1], [900, 60])
+    a, b = calibrate(odds, y)
+    loss = lambda b: np.logaddexp(0, np.where(y == 1, -1, 1) * (a * odds + b)).sum() + 1e-2 * b * b / 2
+    assert a == LEAST_SLOPE and loss(b) < min(loss(b - 0.1), loss(b + 0.1))
+    p = 1 / (1 + np.exp(-a * odds - b))
+    assert p.mean() == pytest.approx(y.mean(), abs=1e-3)
+
+
 def test_quality(spark, odd, empty):
     from strandwise.llm.quality import quality
 
