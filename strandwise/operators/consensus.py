@@ -127,8 +127,9 @@ def counted_read_kmers(aln: DataFrame, contigs: DataFrame) -> DataFrame:
     from strandwise.operators import pileup
 
     columns = pileup.read_insertions(aln)
-    own = _cell_kmers(contig_cells(contigs, columns))
-    return _counted(pileup.read_kmers(aln).unionByName(own))
+    own = _counted(_cell_kmers(contig_cells(contigs, columns)))
+    both = pileup.kmer3(aln).withColumn("own", F.lit(False)).unionByName(own)
+    return both.groupBy("tid", "pos", "ins", "kmer").agg(F.sum("n").alias("n"), F.min("first_rid").alias("first_rid"), F.max("own").alias("own"))
 
 
 def windowed(counts: DataFrame, width: int, overlap: int) -> DataFrame:
